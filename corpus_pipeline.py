@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaybook.llm import entries, packing, rules
+from quaybook.llm import entries, jaccard, packing, rules
 from quaybook.llm.shared import table
 
 
@@ -12,11 +12,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_first(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, entries.pack_config())
 
 
-STAGES = [("quality_rules", quality_rules), ("packing", pack)]
+STAGES = [("quality_rules", quality_rules), ("ngram_jaccard", ngram_jaccard), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

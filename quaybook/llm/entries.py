@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaybook.llm import packing, rules
+from quaybook.llm import jaccard, packing, rules, secrets
 from quaybook.llm.shared import table
 
 
@@ -20,12 +20,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), pack_config())
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"), jaccard.JoinConfig(width=4, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op5_secret_scan, op7_ngram_jaccard, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
