@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaybook.llm import entries, jaccard, packing, rules
+from quaybook.llm import entries, jaccard, packing, pii, rules
 from quaybook.llm.shared import table
 
 
@@ -16,11 +16,15 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return jaccard.keep_first(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, entries.pack_config())
 
 
-STAGES = [("quality_rules", quality_rules), ("ngram_jaccard", ngram_jaccard), ("packing", pack)]
+STAGES = [("quality_rules", quality_rules), ("ngram_jaccard", ngram_jaccard), ("personal_data", personal_data), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaybook.llm import jaccard, packing, rules, secrets
+from quaybook.llm import jaccard, packing, pii, rules, secrets
 from quaybook.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), pack_config())
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_secret_scan, op7_ngram_jaccard, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_personal_data, op5_secret_scan, op7_ngram_jaccard, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
