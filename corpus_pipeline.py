@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaybook.llm import entries, jaccard, packing, pii, rules
+from quaybook.llm import entries, jaccard, packing, pii, rules, toxicity
 from quaybook.llm.shared import table
 
 
@@ -12,6 +12,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_first(docs)
 
@@ -24,7 +28,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, entries.pack_config())
 
 
-STAGES = [("quality_rules", quality_rules), ("ngram_jaccard", ngram_jaccard), ("personal_data", personal_data), ("packing", pack)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("ngram_jaccard", ngram_jaccard),
+    ("personal_data", personal_data),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

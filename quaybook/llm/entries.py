@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quaybook.llm import jaccard, packing, pii, rules, secrets
+from quaybook.llm import jaccard, packing, pii, quality, rules, secrets, toxicity
 from quaybook.llm.shared import table
 
 
@@ -24,6 +25,19 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id"), 3)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), fold != 1)
+    return quality.score(docs, model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id"), 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold != 0)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -38,7 +52,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_personal_data, op5_secret_scan, op7_ngram_jaccard, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_personal_data, op3_quality_classifier, op4_toxic_segments, op5_secret_scan, op7_ngram_jaccard, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
