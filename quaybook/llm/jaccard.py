@@ -7,7 +7,7 @@ documents are partitioned into small groups of similar ones, a matrix stores eac
 each union bounds its overlap with every member, and only groups whose bound qualifies are opened for exact comparison.  Pairs
 that are connected already need no comparison, so what is emitted is a forest of exact links.
 
-Every bound is exact: a token that is frequent in a sample of classes moves to the end of the prefix order, which changes the work
+Every bound is exact: a token that is frequent in a sample of texts moves to the end of the prefix order, which changes the work
 but not the result.  Sets are compared by 64-bit hashes of shingles.
 
 Defined cases: without words or text the set is empty and linked with nothing; fewer words than a shingle has make one
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from quaybook.llm.graph import components
 from quaybook.llm.shared import mix64, settle, window_hashes, word_hashes
 
-SKETCH_BITS = 512
+#: Bits of a parity sketch: a power of two about the size of the set, within these limits.
+LEAST_BITS, MOST_BITS = 256, 16384
 _SHORT = np.uint64(0xA5A5F00DC3C3B00B)
 _NO_ID = (1 << 63) - 1
 
@@ -38,7 +39,7 @@ class JoinConfig:
     #: Words in a shingle, and the least similarity in hundredths.
     width: int = 5
     percent: int = 80
-    #: One class in so many is counted to find frequent tokens; how often a token occurs there at least; how many are kept.
+    #: One text in so many is counted to find frequent tokens; how often a token occurs there at least; how many are kept.
     sample: int = 32
     frequent: int = 4
     most_frequent: int = 1 << 20
@@ -72,10 +73,25 @@ def class_of(tokens: np.ndarray) -> tuple[int, int]:
 
 def sketch_of(tokens: np.ndarray) -> bytes:
     """Parity of the tokens in each of the sketch's bits; two sketches differ in at most as many bits as their sets in tokens."""
-    bits = np.bincount((tokens >> np.uint64(17)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    n = min(MOST_BITS, max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length()))
+    bits = np.bincount((tokens >> np.uint64(17)).astype(np.int64) % n, minlength=n) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of at least ``size`` bytes brought to that size, as rows of 64-bit words: halves add up by parity."""
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    sizes = np.array([len(s) for s in sketches])
+    for full in np.unique(sizes):
+        at = np.flatnonzero(sizes == full)
+        m = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), -1)
+        while m.shape[1] * 8 > size:
+            half = m.shape[1] // 2
+            m = m[:, :half] ^ m[:, half:]
+        out[at] = m
+    return out
+
+
 def needed(size: int, percent: int) -> int:
     """Least overlap of a set of this size with any partner."""
     return -(-percent * size // 100)
@@ -102,7 +118,7 @@ def _sampled_tokens(config: JoinConfig) -> Callable:
         for batch in batches:
             for text in batch.column(0):
                 tokens = shingle_set(text.as_py(), config.width)
-                if len(tokens) and (key := class_of(tokens))[0] % config.sample == 0 and seen.first(key):
+                if len(tokens) and seen.first(class_of(tokens)):
                     held.append(tokens)
                     n += len(tokens)
                     if n > 200_000:
@@ -160,27 +176,42 @@ def _sets(config: JoinConfig, frequent) -> Callable:
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Consecutive rows with equal first ``keys`` columns, from rows sorted by them; one run is held at a time."""
+def _bounds(batch: pa.RecordBatch | pa.Table, keys: int) -> np.ndarray:
+    """Where runs of rows with equal first ``keys`` columns begin, and the number of rows at the end."""
+    change = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for i in range(keys):
+        c = batch.column(i).to_numpy() if isinstance(batch, pa.Table) else batch.column(i).to_numpy(zero_copy_only=False)
+        change |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs from rows sorted by their first ``keys`` columns, with the runs' bounds.
+
+    A run that may go on is held back, so no more than a batch and one run are in memory.
+    """
     held: list[pa.RecordBatch] = []
-    current: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.zeros(batch.num_rows - 1, bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:], strict=False):
-            key = tuple(int(c[a]) for c in columns)
-            if key != current and held:
-                yield current, pa.Table.from_batches(held)
-                held = []
-            current = key
-            held.append(batch.slice(a, b - a))
+        if held and all(held[-1].column(i)[-1] == batch.column(i)[0] for i in range(keys)):
+            first = int(_bounds(batch, keys)[1])
+            if first == batch.num_rows:
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, first))
+            batch = batch.slice(first)
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield table, _bounds(table, keys)
+        last = int(_bounds(batch, keys)[-2])
+        if last:
+            table = pa.Table.from_batches([batch.slice(0, last)])
+            yield table, _bounds(table, keys)
+        held = [batch.slice(last)]
     if held:
-        yield current, pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _bounds(table, keys)
 
 
 class _Forest:
@@ -198,43 +229,67 @@ class _Forest:
 _EDGES = "u long, v long"
 
 
-def _edge_batch(u: list[int], v: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+def _crowd_forest(n: np.ndarray, sketches: list[bytes], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs among many sets that the sketch bound allows, across sides only if these are given."""
+    order = np.argsort(n, kind="stable")
+    n, side = n[order], None if side is None else side[order]
+    sketches = [sketches[i] for i in order]
+    sizes = np.array([len(s) for s in sketches])
+    reach = np.searchsorted(n * percent, n * 100, side="right")
+    forest, found = _Forest(len(n)), []
+    for size in np.unique(sizes):
+        # sets in order of their size, so larger sketches come later
+        base = int(np.searchsorted(sizes, size))
+        last = int(np.searchsorted(sizes, size, side="right"))
+        m = folded(sketches[base : int(reach[last - 1])], int(size))
+        for x in range(base, last):
+            far = int(reach[x])
+            if far <= x + 1:
+                continue
+            apart = np.bitwise_count(m[x + 1 - base : far - base] ^ m[x - base]).sum(1, dtype=np.int64)
+            may = (apart * (100 + percent) <= (n[x + 1 : far] + n[x]) * (100 - percent)) & (forest.label[x + 1 : far] != forest.label[x])
+            if side is not None:
+                may &= side[x + 1 : far] != side[x]
+            for y in np.flatnonzero(may) + x + 1:
+                if forest.label[y] != forest.label[x]:
+                    forest.merge(x, int(y))
+                    found.append((int(order[x]), int(order[y])))
+    return found
+
+
+def _pairs_alone(n: np.ndarray, sketches: list[bytes], i: np.ndarray, percent: int) -> np.ndarray:
+    """Of rows ``i`` that meet only the row after them, those that the sketch bound allows."""
+    swap = n[i] > n[i + 1]
+    small, large = np.where(swap, i + 1, i), np.where(swap, i, i + 1)
+    near = n[large] * percent <= n[small] * 100
+    i, small, large = i[near], small[near], large[near]
+    sizes = np.array([len(sketches[k]) for k in small])
+    ok = np.zeros(len(i), bool)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        apart = np.bitwise_count(folded([sketches[k] for k in small[at]], int(size)) ^ folded([sketches[k] for k in large[at]], int(size))).sum(1, dtype=np.int64)
+        ok[at] = apart * (100 + percent) <= (n[small[at]] + n[large[at]]) * (100 - percent)
+    return i[ok]
 
 
 def _meet(config: JoinConfig) -> Callable:
     """From rows ``t, a, b, side, c1, n, sketch`` sorted by the first three: a forest of pairs that the sketch bound allows."""
-    p = config.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs = [], []
-        for (_, a, b), rows in _runs(batches, 3):
-            if len(rows) < 2:
-                continue
-            n = rows.column("n").to_numpy()
-            order = np.argsort(n, kind="stable")
-            n, side, c1 = n[order], rows.column("side").to_numpy()[order], rows.column("c1").to_numpy()[order]
-            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)[order]
-            reach = np.searchsorted(n * p, n * 100, side="right")
-            forest = _Forest(len(n))
-            for x in range(len(n) - 1):
-                far = reach[x]
-                if far <= x + 1:
-                    continue
-                apart = np.bitwise_count(sketch[x + 1 : far] ^ sketch[x]).sum(1, dtype=np.int64)
-                may = (apart * (100 + p) <= (n[x + 1 : far] + n[x]) * (100 - p)) & (forest.label[x + 1 : far] != forest.label[x])
-                if a != b:
-                    may &= side[x + 1 : far] != side[x]
-                for y in np.flatnonzero(may) + x + 1:
-                    if forest.label[y] != forest.label[x]:
-                        forest.merge(x, y)
-                        us.append(int(c1[x]))
-                        vs.append(int(c1[y]))
-            if len(us) > 20_000:
-                yield _edge_batch(us, vs)
-                us, vs = [], []
-        if us:
-            yield _edge_batch(us, vs)
+        for table, bounds in _whole_runs(batches, 3):
+            a, b, side, c1, n = (table.column(k).to_numpy() for k in ("a", "b", "side", "c1", "n"))
+            sketches = table.column("sketch").to_pylist()
+            lengths = np.diff(bounds)
+            two = bounds[:-1][lengths == 2]
+            two = two[(a[two] == b[two]) | (side[two] != side[two + 1])]
+            two = _pairs_alone(n, sketches, two, config.percent) if len(two) else two
+            us, vs = [c1[two]], [c1[two + 1]]
+            for k in np.flatnonzero(lengths > 2):
+                s, e = int(bounds[k]), int(bounds[k + 1])
+                pairs = _crowd_forest(n[s:e], sketches[s:e], side[s:e] if a[s] != b[s] else None, config.percent)
+                us.append(c1[[s + i for i, _ in pairs]])
+                vs.append(c1[[s + j for _, j in pairs]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     return run
 
@@ -291,11 +346,17 @@ def links_within(sets: list[np.ndarray], config: JoinConfig, sides: np.ndarray |
     return found
 
 
+def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
+    for table, bounds in _whole_runs(batches, 3):
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield table.slice(s, e - s), table.column("a")[s].as_py(), table.column("b")[s].as_py()
+
+
 def _verify(config: JoinConfig) -> Callable:
     """From rows ``family, a, b, side, c1, text`` sorted by the first three: a forest of exact links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, a, b), rows in _runs(batches, 3):
+        for rows, a, b in _each_run(batches):
             c1 = rows.column("c1").to_pylist()
             first = {c: i for i, c in reversed(list(enumerate(c1)))}
             keep = sorted(first.values())
@@ -305,7 +366,8 @@ def _verify(config: JoinConfig) -> Callable:
             sides = rows.column("side").to_numpy()[keep] if a != b else None
             pairs = links_within(sets, config, sides)
             if pairs:
-                yield _edge_batch([c1[keep[i]] for i, _ in pairs], [c1[keep[j]] for _, j in pairs])
+                ends = ([c1[keep[i]] for i, _ in pairs], [c1[keep[j]] for _, j in pairs])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["u", "v"])
 
     return run
 
@@ -325,7 +387,8 @@ def find_links(docs: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFram
     """``(sets, links)``: a row for each document with its set's size and class, and a forest of links ``u, v`` between classes."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    counted = texts.select("text").mapInArrow(_sampled_tokens(config), "t long").groupBy("t").count().where(F.col("count") >= config.frequent)
+    sampled = texts.where(F.pmod("key", F.lit(config.sample)) == 0).select("text")
+    counted = sampled.mapInArrow(_sampled_tokens(config), "t long").groupBy("t").count().where(F.col("count") >= config.frequent)
     # at most `most_frequent` numbers, whatever the input
     top = counted.orderBy(F.desc("count"), "t").limit(config.most_frequent).select("t").toPandas()["t"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
