@@ -12,7 +12,9 @@ own; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from quaybook.llm.shared import crc32_of_ids, settle
 
 #: Words remembered by one Python worker, and the longest word that is remembered.
-CACHED_WORDS, CACHED_LENGTH = 400_000, 40
-_workers: dict[str, tuple[object, dict[str, bytes]]] = {}
+CACHED_WORDS, CACHED_LENGTH = 1_200_000, 40
+_workers: dict[str, _Encoder] = {}
 
 
 @dataclass(frozen=True)
@@ -41,36 +43,78 @@ class PackConfig:
     sweeps: int = 60
 
 
-def _encoder(path: str) -> tuple[object, dict[str, bytes]]:
-    if path not in _workers:
+class _Encoder:
+    """Ids of whole texts by way of words that are remembered, for tokenizers that allow it.
+
+    That is, for those that lower-case, drop white space and mark the end of a word in its last id: a text's ids are then those of
+    its words in order, and one call encodes many words, told apart by that mark.  Other tokenizers get whole texts.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _workers[path] = (Tokenizer.from_file(path), {"": b""})
-    return _workers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_words = bool(suffix) and '"Lowercase"' in json.dumps(spec["normalizer"]) and '"Removed"' in json.dumps(spec["pre_tokenizer"])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if self.by_words:
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        self.stops = {c: self.whole([c])[0] for c in ",.!?"}
+        self.cache: dict[str, bytes] = {"": b""}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.batch(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not in the cache yet."""
+        simple = {w for w in words if w.isalpha() and max(w) < "\u0130"}
+        stopped = [w for w in words if w[-1] in self.stops and w[:-1].isalpha() and max(w) < "\u0130"]
+        known: dict[str, bytes] = {}
+        plain = list(simple.union(c for w in stopped if (c := w[:-1]) not in self.cache))
+        if plain:
+            # each of these is one word to the tokenizer, so as many ids carry the mark
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(plain, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                known[word] = raw[start:end]
+                start = end
+        for word in stopped:
+            core = word[:-1]
+            known[word] = (known.get(core) or self.cache[core]) + self.stops[word[-1]]
+        other = [w for w in words if w not in known]
+        known.update(zip(other, self.whole(other), strict=True))
+        return known
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        if len(self.cache) > CACHED_WORDS:
+            self.cache = {"": b""}
+        split = [t.lower().replace("\n", " ").split(" ") for t in texts]
+        fresh = self.learn(set().union(*split).difference(self.cache))
+        self.cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_LENGTH)
+        long = {w: ids for w, ids in fresh.items() if len(w) > CACHED_LENGTH}
+        known = ChainMap(self.cache, long) if long else self.cache
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+#: Strings whose case the tokenizer treats unlike Python, or in which it looks for special tokens.
+_UNUSUAL = ("<|", "\u0130", "\u03a3")
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order; words
-    repeat, and each is encoded once per worker.
-    """
-    tokenizer, cache = _encoder(path)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    out: list[bytes] = []
+    """Ids of each text as little-endian unsigned 32-bit integers."""
+    if path not in _workers:
+        _workers[path] = _Encoder(path)
+    encoder, out = _workers[path], []
     for at in range(0, len(texts), 128):
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-            cache[""] = b""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 128]]
-        missing = list(set().union(*split).difference(cache))
-        long: dict[str, bytes] = {}
-        if missing:
-            for word, e in zip(missing, encode(missing, add_special_tokens=False), strict=True):
-                (cache if len(word) <= CACHED_LENGTH else long)[word] = np.array(e.ids, "<u4").tobytes()
-        known = cache | long if long else cache
-        out += [b"".join(map(known.__getitem__, words)) for words in split]
+        part = [t or "" for t in texts[at : at + 128]]
+        usual = [encoder.by_words and not any(x in t for x in _UNUSUAL) for t in part]
+        by_words = iter(encoder.texts([t for t, u in zip(part, usual, strict=True) if u]))
+        whole = iter(encoder.whole([t for t, u in zip(part, usual, strict=True) if not u]))
+        out += [next(by_words if u else whole) for u in usual]
     return out
 
 
