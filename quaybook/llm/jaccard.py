@@ -8,7 +8,8 @@ each union bounds its overlap with every member, and only groups whose bound qua
 that are connected already need no comparison, so what is emitted is a forest of exact links.
 
 Every bound is exact: a token that is frequent in a sample of texts moves to the end of the prefix order, which changes the work
-but not the result.  Sets are compared by 64-bit hashes of shingles.
+but not the result.  Sets are compared by 64-bit hashes of
+shingles and told apart by 128 bits, candidates by 64.
 
 Defined cases: without words or text the set is empty and linked with nothing; fewer words than a shingle has make one
 shingle; a null id takes part, and its component is the least id that is not null; repeated rows are linked with each
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaybook.llm.graph import components
-from quaybook.llm.shared import mix64, settle, window_hashes, word_hashes
+from quaybook.llm.shared import mix64, settle, whole_runs, window_hashes, word_hashes
 
 #: Bits of a parity sketch: a power of two about the size of the set, within these limits.
 LEAST_BITS, MOST_BITS = 256, 16384
@@ -43,6 +44,8 @@ class JoinConfig:
     sample: int = 32
     frequent: int = 4
     most_frequent: int = 1 << 20
+    #: Classes that share a token and are paired at once; more meet in one task with their sketches.
+    few: int = 8
     #: Classes compared in one task at once where a token is crowded, and documents of a family in one block.
     crowd: int = 4096
     block: int = 1024
@@ -176,44 +179,6 @@ def _sets(config: JoinConfig, frequent) -> Callable:
     return run
 
 
-def _bounds(batch: pa.RecordBatch | pa.Table, keys: int) -> np.ndarray:
-    """Where runs of rows with equal first ``keys`` columns begin, and the number of rows at the end."""
-    change = np.zeros(max(batch.num_rows - 1, 0), bool)
-    for i in range(keys):
-        c = batch.column(i).to_numpy() if isinstance(batch, pa.Table) else batch.column(i).to_numpy(zero_copy_only=False)
-        change |= c[1:] != c[:-1]
-    return np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole runs from rows sorted by their first ``keys`` columns, with the runs' bounds.
-
-    A run that may go on is held back, so no more than a batch and one run are in memory.
-    """
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held and all(held[-1].column(i)[-1] == batch.column(i)[0] for i in range(keys)):
-            first = int(_bounds(batch, keys)[1])
-            if first == batch.num_rows:
-                held.append(batch)
-                continue
-            held.append(batch.slice(0, first))
-            batch = batch.slice(first)
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield table, _bounds(table, keys)
-        last = int(_bounds(batch, keys)[-2])
-        if last:
-            table = pa.Table.from_batches([batch.slice(0, last)])
-            yield table, _bounds(table, keys)
-        held = [batch.slice(last)]
-    if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        yield table, _bounds(table, keys)
-
-
 class _Forest:
     """Labels of a few nodes; merging reports whether two trees became one."""
 
@@ -272,24 +237,56 @@ def _pairs_alone(n: np.ndarray, sketches: list[bytes], i: np.ndarray, percent: i
     return i[ok]
 
 
+def _deal(config: JoinConfig) -> Callable:
+    """From rows ``t, c1`` sorted by token: pairs ``u, v`` where few classes meet, and ``t, u, crowd`` where many do."""
+    few = config.few
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_runs(batches, 1):
+            t, c1 = table.column(0).to_numpy(), table.column(1).to_numpy()
+            lengths = np.diff(bounds)
+            us, vs = [], []
+            for n in range(2, few + 1):
+                at = bounds[:-1][lengths == n]
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        us.append(np.minimum(c1[at + i], c1[at + j]))
+                        vs.append(np.maximum(c1[at + i], c1[at + j]))
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
+            many = np.repeat(lengths > few, lengths)
+            crowd = np.repeat(lengths, lengths)[many]
+            nothing = lambda n: pa.nulls(n, pa.int64())
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([nothing(len(pairs)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), nothing(len(pairs))], names=["t", "u", "v", "crowd"])
+            if len(crowd):
+                yield pa.RecordBatch.from_arrays([pa.array(t[many]), pa.array(c1[many]), nothing(len(crowd)), pa.array(crowd)], names=["t", "u", "v", "crowd"])
+
+    return run
+
+
+def _alike(config: JoinConfig) -> Callable:
+    """Of pairs ``u, v, n, sketch, m, other``, those that the sketch bound allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.stack([batch.column(2).to_numpy(), batch.column(4).to_numpy()], 1).ravel()
+            sketches = [x for pair in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True) for x in pair]
+            ok = _pairs_alone(n, sketches, np.arange(0, len(n), 2), config.percent) // 2
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok))], names=["u", "v"])
+
+    return run
+
+
 def _meet(config: JoinConfig) -> Callable:
     """From rows ``t, a, b, side, c1, n, sketch`` sorted by the first three: a forest of pairs that the sketch bound allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in _whole_runs(batches, 3):
-            a, b, side, c1, n = (table.column(k).to_numpy() for k in ("a", "b", "side", "c1", "n"))
-            sketches = table.column("sketch").to_pylist()
-            lengths = np.diff(bounds)
-            two = bounds[:-1][lengths == 2]
-            two = two[(a[two] == b[two]) | (side[two] != side[two + 1])]
-            two = _pairs_alone(n, sketches, two, config.percent) if len(two) else two
-            us, vs = [c1[two]], [c1[two + 1]]
-            for k in np.flatnonzero(lengths > 2):
-                s, e = int(bounds[k]), int(bounds[k + 1])
-                pairs = _crowd_forest(n[s:e], sketches[s:e], side[s:e] if a[s] != b[s] else None, config.percent)
-                us.append(c1[[s + i for i, _ in pairs]])
-                vs.append(c1[[s + j for _, j in pairs]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+        for rows, a, b in _each_run(batches):
+            side = rows.column("side").to_numpy() if a != b else None
+            pairs = _crowd_forest(rows.column("n").to_numpy(), rows.column("sketch").to_pylist(), side, config.percent)
+            if pairs:
+                c1 = rows.column("c1").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(c1[[i for i, _ in pairs]]), pa.array(c1[[j for _, j in pairs]])], names=["u", "v"])
 
     return run
 
@@ -347,7 +344,7 @@ def links_within(sets: list[np.ndarray], config: JoinConfig, sides: np.ndarray |
 
 
 def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
-    for table, bounds in _whole_runs(batches, 3):
+    for table, bounds in whole_runs(batches, 3):
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield table.slice(s, e - s), table.column("a")[s].as_py(), table.column("b")[s].as_py()
 
@@ -394,17 +391,18 @@ def find_links(docs: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFram
     frequent = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
     sets = settle(texts.mapInArrow(_sets(config, frequent), _SETS))
 
-    tokens = sets.where("prefix is not null").select(F.explode("prefix").alias("t"), "c1", "c2")
-    crowd = Window.partitionBy("t")
-    met = (
-        tokens.repartition("t").dropDuplicates(["t", "c1", "c2"])
-        .withColumn("crowd", F.count("*").over(crowd))
-        .where("crowd > 1")
-    )
-    sketches = sets.where("sketch is not null").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    met = _in_blocks(met.join(sketches, ["c1", "c2"]), "crowd", config.crowd, "c1")
-    met = _grouped(met.select("t", "a", "b", "side", "c1", "n", "sketch"), ["t", "a", "b"])
-    families = components(met.mapInArrow(_meet(config), _EDGES))
+    # one row for each token of a prefix and class that has it; tokens of one class alone say nothing
+    tokens = sets.where("prefix is not null").select(F.explode("prefix").alias("t"), "c1")
+    met = tokens.repartition("t").dropDuplicates(["t", "c1"]).withColumn("n", F.count("*").over(Window.partitionBy("t"))).where("n > 1")
+    dealt = settle(met.select("t", "c1").sortWithinPartitions("t").mapInArrow(_deal(config), "t long, u long, v long, crowd long"))
+    sketches = sets.where("sketch is not null").groupBy("c1").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    pairs = dealt.where("v is not null").select("u", "v").distinct()
+    pairs = pairs.join(sketches.withColumnRenamed("c1", "u"), "u").join(sketches.toDF("v", "m", "other"), "v")
+    alike = pairs.select("u", "v", "n", "sketch", "m", "other").mapInArrow(_alike(config), _EDGES)
+    crowds = dealt.where("crowd is not null").select("t", F.col("u").alias("c1"), "crowd").join(sketches, "c1")
+    crowds = _in_blocks(crowds, "crowd", config.crowd, "c1")
+    crowds = _grouped(crowds.select("t", "a", "b", "side", "c1", "n", "sketch"), ["t", "a", "b"])
+    families = components(alike.union(crowds.mapInArrow(_meet(config), _EDGES)))
 
     # one row stands for each class: the one of least id
     rows = sets.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "key")).alias("row"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,44 @@ def crc32_of_ids(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
 
 
+def _bounds(batch: pa.RecordBatch | pa.Table, keys: int) -> np.ndarray:
+    """Where runs of rows with equal first ``keys`` columns begin, and the number of rows at the end."""
+    change = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for i in range(keys):
+        c = batch.column(i).to_numpy() if isinstance(batch, pa.Table) else batch.column(i).to_numpy(zero_copy_only=False)
+        change |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs from rows sorted by their first ``keys`` columns, with the runs' bounds.
+
+    A run that may go on is held back, so no more than a batch and one run are in memory.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and all(held[-1].column(i)[-1] == batch.column(i)[0] for i in range(keys)):
+            first = int(_bounds(batch, keys)[1])
+            if first == batch.num_rows:
+                held.append(batch)
+                continue
+            held.append(batch.slice(0, first))
+            batch = batch.slice(first)
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield table, _bounds(table, keys)
+        last = int(_bounds(batch, keys)[-2])
+        if last:
+            table = pa.Table.from_batches([batch.slice(0, last)])
+            yield table, _bounds(table, keys)
+        held = [batch.slice(last)]
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _bounds(table, keys)
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,20 +146,23 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hash of each word of a text, A-Z lower-cased, words split at ASCII white space.
+def word_hashes(text: str | None, blanks: np.ndarray = _BLANK) -> np.ndarray:
+    """64-bit hash of each word of a text, A-Z lower-cased, words split at ASCII white space or other given bytes."""
+    return hashed_words(text.encode("utf-8", "surrogatepass"), blanks)[0] if text else np.empty(0, np.uint64)
+
+
+def hashed_words(text: bytes, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of an UTF-8 text, and where in bytes each begins and ends.
 
-    Works on the UTF-8 bytes at once, without a Python object for each word.
+    Works on the bytes at once, without a Python object for each word.
     """
-    if not text:
-        return np.empty(0, np.uint64)
-    raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    blank = _BLANK[raw]
+    raw = _LOWER[np.frombuffer(text, np.uint8)]
+    blank = blanks[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
     if not len(edge):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), edge
     first, last = edge[::2], edge[1::2]
     up, down = _power_tables(len(raw))
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
-        return mix64((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * _MIX)
+        return mix64((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * _MIX), edge
