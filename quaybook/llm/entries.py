@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaybook.llm import jaccard, packing, pii, quality, rules, secrets, toxicity
+from quaybook.llm import jaccard, licenses, neighbours, packing, pieces, pii, quality, rules, secrets, toxicity
 from quaybook.llm.shared import table
 
 
@@ -42,6 +42,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.join(table(spark, sf_dir, "documents"), jaccard.JoinConfig(width=4, percent=85))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -51,8 +55,38 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), path, with_ids=False).drop("key", "ids")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    span = lambda m: F.concat_ws(":", m["name"], m["start"].cast("string"), m["end"].cast("string"))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.name")), ",").alias("licenses"),
+        F.array_join(F.transform("matches", span), ",").alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_personal_data, op3_quality_classifier, op4_toxic_segments, op5_secret_scan, op7_ngram_jaccard, op8_quality_rules)}
+    found = (
+        op1_packing,
+        op2_personal_data,
+        op3_quality_classifier,
+        op4_toxic_segments,
+        op5_secret_scan,
+        op6_nearest_neighbours,
+        op7_ngram_jaccard,
+        op8_quality_rules,
+        op9_sentencepiece,
+        op10_license_scan,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
