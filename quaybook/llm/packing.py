@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,11 +37,15 @@ class PackConfig:
     tokenizer_path: str
     window: int = 2048
     end_id: int = 1
-    #: Combinations hold at most three lengths; this many of them at most enter the fit.
+    #: This many combinations of at most four lengths enter a fit.
     max_combinations: int = 4096
     #: Lengths, most frequent first, tried as the middle part of a combination of three.
     middle_lengths: int = 48
-    sweeps: int = 60
+    sweeps: int = 40
+    #: How often the fit is repeated on what the rounding left, with four lengths from the middle of the turns on.
+    turns: int = 8
+    #: Rows up to which the remainders that are cut are broadcast to look up their ids.
+    broadcast_rows: int = 200_000
 
 
 class _Encoder:
@@ -63,7 +68,6 @@ class _Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if self.by_words:
             self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
-        self.stops = {c: self.whole([c])[0] for c in ",.!?"}
         self.cache: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -72,9 +76,10 @@ class _Encoder:
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not in the cache yet."""
         simple = {w for w in words if w.isalpha() and max(w) < "\u0130"}
-        stopped = [w for w in words if w[-1] in self.stops and w[:-1].isalpha() and max(w) < "\u0130"]
+        # a word and the run of punctuation after it are two words to the tokenizer
+        stopped = [(w, c, w[len(c) :]) for w in words.difference(simple) if (c := w.rstrip(string.punctuation)) != w and c.isalpha() and max(c) < "\u0130"]
         known: dict[str, bytes] = {}
-        plain = list(simple.union(c for w in stopped if (c := w[:-1]) not in self.cache))
+        plain = list(simple.union(c for _, c, _ in stopped if c not in self.cache))
         if plain:
             # each of these is one word to the tokenizer, so as many ids carry the mark
             ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
@@ -82,11 +87,11 @@ class _Encoder:
             for word, end in zip(plain, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
                 known[word] = raw[start:end]
                 start = end
-        for word in stopped:
-            core = word[:-1]
-            known[word] = (known.get(core) or self.cache[core]) + self.stops[word[-1]]
-        other = [w for w in words if w not in known]
+        done = {w for w, _, _ in stopped}
+        other = list({t for _, _, t in stopped if t not in self.cache}.union(w for w in words if w not in known and w not in done))
         known.update(zip(other, self.whole(other), strict=True))
+        for word, core, tail in stopped:
+            known[word] = (known[core] if core in known else self.cache[core]) + (known[tail] if tail in known else self.cache[tail])
         return known
 
     def texts(self, texts: list[str]) -> list[bytes]:
@@ -162,17 +167,21 @@ def tokenize(docs: DataFrame, config: PackConfig, with_ids: bool = False) -> Dat
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _TOKENIZED)
 
 
-def combinations(histogram: dict[int, int], config: PackConfig) -> list[tuple[int, ...]]:
-    """Up to three lengths that fill the window exactly, those of frequent lengths first."""
+def combinations(histogram: dict[int, int], config: PackConfig, depth: int = 3) -> list[tuple[int, ...]]:
+    """Up to ``depth`` lengths, 3 or 4, that fill the window exactly; those of frequent lengths come first."""
     window, found = config.window, set()
     lengths = sorted(histogram)
-    frequent = sorted(histogram, key=lambda n: (-histogram[n], n))[: config.middle_lengths]
-    for a in lengths:
-        if window - a in histogram:
-            found.add(tuple(sorted((a, window - a))))
-        for b in frequent:
-            if window - a - b in histogram:
-                found.add(tuple(sorted((a, b, window - a - b))))
+    frequent = sorted(histogram, key=lambda n: (-histogram[n], n))[: config.middle_lengths if depth == 3 else config.middle_lengths // 4]
+    middles = [(0,), *((b,) for b in frequent)]
+    if depth > 3:
+        middles += [(b, c) for i, b in enumerate(frequent) for c in frequent[i:]]
+    for middle in middles:
+        rest = window - sum(middle)
+        for a in lengths:
+            if a > rest - a:
+                break
+            if rest - a in histogram:
+                found.add(tuple(sorted(n for n in (a, *middle, rest - a) if n)))
     return sorted(found, key=lambda c: (-min(histogram[n] for n in c), c))[: config.max_combinations]
 
 
@@ -201,21 +210,25 @@ def plan(histogram: dict[int, int], config: PackConfig) -> tuple[list[tuple[int,
 
     Ranks of a row without ``stream`` go to windows base, base + 1, ...; those with it lie end to end from position base on.
     """
-    columns = combinations(histogram, config)
-    x = nonnegative_least_squares(columns, histogram, config.sweeps)
     used = dict.fromkeys(histogram, 0)
     rows: list[tuple[int, int, int, int, int, bool]] = []
     windows = 0
-    for j in sorted(range(len(columns)), key=lambda j: (-x[j], j)):
-        parts = columns[j]
-        repeats = min(int(x[j] + 0.5), *((histogram[n] - used[n]) // parts.count(n) for n in parts))
-        if repeats > 0:
-            at = 0
-            for n in parts:
-                rows.append((n, used[n], used[n] + repeats, windows, at, False))
-                used[n] += repeats
-                at += n
-            windows += repeats
+    for turn in range(config.turns):
+        left = {n: c - used[n] for n, c in histogram.items() if c > used[n]}
+        columns = combinations(left, config, 3 if turn < config.turns // 2 else 4)
+        if not columns:
+            continue
+        x = nonnegative_least_squares(columns, left, config.sweeps)
+        for j in sorted(range(len(columns)), key=lambda j: (-x[j], j)):
+            parts = columns[j]
+            repeats = min(int(x[j] + 0.5), *((histogram[n] - used[n]) // parts.count(n) for n in parts))
+            if repeats > 0:
+                at = 0
+                for n in parts:
+                    rows.append((n, used[n], used[n] + repeats, windows, at, False))
+                    used[n] += repeats
+                    at += n
+                windows += repeats
     position = 0
     for n in sorted(histogram, reverse=True):
         if rest := histogram[n] - used[n]:
@@ -261,7 +274,7 @@ def pack(docs: DataFrame, config: PackConfig, with_ids: bool = False) -> DataFra
             (F.col("x.ids") if with_ids else none).alias("ids"),
         )
     )
-    # the plan's rows are bounded by max_combinations and the window, whatever the input
+    # the plan's rows are bounded by max_combinations, turns and the window, whatever the input
     rest = (
         tokens.where("rem > 0").select("doc_id", "tokens", *keys, "rank", "rem_crc")
         .join(shifts, keys)
@@ -275,14 +288,16 @@ def pack(docs: DataFrame, config: PackConfig, with_ids: bool = False) -> DataFra
         .withColumn("start", F.col("tokens") - F.col("rem"))
     )
     outcome = ["doc_id", "start", "length", "ids_crc32", F.col("tokens").alias("doc_tokens"), "sequence_id", "offset", "ids"]
-    uncut = rest.where(F.lit(with_ids) | ~F.col("cut")) if not with_ids else rest
+    stored = tokens.where("rem > 0").select(*keys, "rank", "rem_ids")
     if with_ids:
         # every remainder needs its ids
-        cut = rest.join(tokens.select(*keys, "rank", "rem_ids"), [*keys, "rank"])
-        uncut = None
+        cut, uncut = rest.join(stored, [*keys, "rank"]), None
     else:
         # a stream window cuts one remainder at most, so few rows look up their ids
-        cut = rest.where("cut").join(tokens.where("rem > 0").select(*keys, "rank", "rem_ids"), [*keys, "rank"])
+        uncut, cut = rest.where(~F.col("cut")), settle(rest.where("cut"))
+        if cut.count() <= config.broadcast_rows:
+            cut = F.broadcast(cut)
+        cut = stored.join(cut, [*keys, "rank"])
     cut = cut.withColumn("head", F.least(F.lit(window) - F.col("offset"), F.col("rem").cast("long")))
     both = F.explode(
         F.filter(
