@@ -60,8 +60,8 @@ def book_states(messages: DataFrame, depth: int = 10, layout: Layout = Layout())
 def active_orders(messages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """``symbol, seq, active_orders``: live orders after each message."""
     changes = level_deltas(messages).groupBy("symbol", "seq").agg(F.sum("dcount").alias("dcount"))
-    spine = messages.select("symbol", "seq").join(changes, ["symbol", "seq"], "left").withColumn("chunk", chunk_of("seq", layout.scan_chunk))
-    counted = running(spine, ["symbol"], "chunk", ["seq"], [Running("active_orders", "sum", F.coalesce("dcount", F.lit(0).cast("long")))])
+    spine = messages.select("symbol", "seq").join(changes, ["symbol", "seq"], "left")
+    counted = running(spine, ["symbol"], chunk_of("seq", layout.scan_chunk), ["seq"], [Running("active_orders", "sum", F.coalesce("dcount", F.lit(0).cast("long")))])
     return counted.select("symbol", "seq", "active_orders")
 
 
@@ -108,9 +108,8 @@ def book_peaks(messages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     moves = counts.groupBy("symbol", "seq").agg(
         F.sum("dcount").alias("orders"), F.sum(F.when(F.col("side") == BUY, opened)).alias("bids"), F.sum(F.when(F.col("side") == SELL, opened)).alias("asks")
     )
-    moves = moves.withColumn("chunk", chunk_of("seq", layout.scan_chunk))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    totals = running(moves, ["symbol"], "chunk", ["seq"], [Running(f"n_{c}", "sum", zero(c)) for c in ("orders", "bids", "asks")])
+    totals = running(moves, ["symbol"], chunk_of("seq", layout.scan_chunk), ["seq"], [Running(f"n_{c}", "sum", zero(c)) for c in ("orders", "bids", "asks")])
     peaks = totals.groupBy("symbol").agg(F.max("n_orders").alias("o"), F.max(F.greatest("n_bids", "n_asks")).alias("l"))
     every = messages.select("symbol").distinct().join(peaks, "symbol", "left")
     return every.select("symbol", zero("o").alias("peak_orders"), zero("l").alias("peak_levels_per_side"))

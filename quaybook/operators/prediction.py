@@ -20,14 +20,14 @@ def future_moves(snapshots: DataFrame, layout: Layout = Layout()) -> DataFrame:
 
     Among rows with a mid, that is the next one which differs from its predecessor, whatever the horizon; so one pass serves all.
     """
-    rows = snapshots.withColumn("chunk", chunk_of("message_index", layout.scan_chunk))
-    rows = running(rows, ["symbol"], "chunk", ["message_index"], [Running("previous", "last", F.col("mid_price"), inclusive=False)])
+    chunk = chunk_of("message_index", layout.scan_chunk)
+    rows = running(snapshots, ["symbol"], chunk, ["message_index"], [Running("previous", "last", F.col("mid_price"), inclusive=False)])
     turn = F.when(F.col("mid_price").isNotNull() & F.col("previous").isNotNull() & (F.col("mid_price") != F.col("previous")), F.struct(F.col("message_index").alias("at"), F.col("mid_price").alias("mid")))
-    rows = running(rows, ["symbol"], "chunk", ["message_index"], [Running("next", "last", turn, inclusive=False)], reverse=True)
+    rows = running(rows, ["symbol"], chunk, ["message_index"], [Running("next", "last", turn, inclusive=False)], reverse=True)
     valid = F.col("mid_price").isNotNull() & F.col("next").isNotNull()
     return rows.withColumns(
         {"move": F.when(valid, sign(F.col("next.mid") - F.col("mid_price"))), "distance": F.when(valid, F.col("next.at") - F.col("message_index"))}
-    ).drop("chunk", "previous", "next")
+    ).drop("previous", "next")
 
 
 def validate_horizons(horizons: list[int]) -> list[int]:

@@ -1,8 +1,8 @@
-"""Running aggregates that spread one long sequence over many tasks.
+"""Running aggregates that can spread one long sequence over many tasks.
 
-A window over a whole symbol puts the symbol into one task.  Here a sequence is cut into chunks by a column that never
-falls along the order: each chunk runs alone, its total goes into a small table, the totals before a chunk are aggregated there,
-and the two parts meet.  Work per row is constant and the largest task is a chunk.
+A window over a whole symbol puts the symbol into one task, which is the fastest way while symbols are short.  A long sequence is
+cut into chunks by a column that never falls along the order: each chunk runs alone, its total goes into a small table, the
+totals before a chunk are aggregated there, and the two parts meet.  Work per row is constant and the largest task is a chunk.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaybook.plans.lineage import settle
+
 
 @dataclass(frozen=True)
 class Running:
@@ -33,10 +35,16 @@ def _join(how: str, before: Column, here: Column) -> Column:
     return F.greatest(before, here) if how == "max" else F.coalesce(here, before)
 
 
-def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], wanted: list[Running], reverse: bool = False) -> DataFrame:
-    """Add each of ``wanted``; ``chunk`` must not fall, or with ``reverse`` not rise, along the order."""
+def running(df: DataFrame, keys: list[str], chunk: Column | None, order: list[str], wanted: list[Running], reverse: bool = False) -> DataFrame:
+    """Add each of ``wanted``; ``chunk`` must not fall along the ascending order.  Without it, each key's rows run in one task."""
     turn = (lambda c: F.col(c).desc()) if reverse else F.col
-    valued = df.withColumns({f"__{w.name}": w.value for w in wanted})
+    frame = lambda over, w: over.rowsBetween(Window.unboundedPreceding, 0 if w.inclusive else -1)
+    if chunk is None:
+        whole = Window.partitionBy(*keys).orderBy(*[turn(c) for c in order])
+        return df.withColumns({w.name: _aggregate(w.how, w.value).over(frame(whole, w)) for w in wanted})
+    # read twice below, so it is written once
+    valued = settle(df.withColumns({"__chunk": chunk, **{f"__{w.name}": w.value for w in wanted}}))
+    chunk = "__chunk"
     last_of = lambda w: F.max_by(F.col(f"__{w.name}"), F.when(F.col(f"__{w.name}").isNotNull(), F.struct(*order)))
     first_of = lambda w: F.min_by(F.col(f"__{w.name}"), F.when(F.col(f"__{w.name}").isNotNull(), F.struct(*order)))
     total = lambda w: (first_of(w) if reverse else last_of(w)) if w.how == "last" else _aggregate(w.how, F.col(f"__{w.name}"))
@@ -44,23 +52,25 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], wanted
     earlier = Window.partitionBy(*keys).orderBy(turn(chunk)).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*keys, chunk, *[_aggregate(w.how, F.col(f"__t_{w.name}")).over(earlier).alias(f"__b_{w.name}") for w in wanted])
     inside = Window.partitionBy(*keys, chunk).orderBy(*[turn(c) for c in order])
-    frame = lambda w: inside.rowsBetween(Window.unboundedPreceding, 0 if w.inclusive else -1)
-    here = valued.withColumns({f"__h_{w.name}": _aggregate(w.how, F.col(f"__{w.name}")).over(frame(w)) for w in wanted})
+    here = valued.withColumns({f"__h_{w.name}": _aggregate(w.how, F.col(f"__{w.name}")).over(frame(inside, w)) for w in wanted})
     joined = here.join(before, [*keys, chunk])
     result = joined.withColumns({w.name: _join(w.how, F.col(f"__b_{w.name}"), F.col(f"__h_{w.name}")) for w in wanted})
-    return result.drop(*[f"__{x}{w.name}" for w in wanted for x in ("", "b_", "h_")])
+    return result.drop("__chunk", *[f"__{x}{w.name}" for w in wanted for x in ("", "b_", "h_")])
 
 
-def chunk_of(column: str, size: int) -> Column:
-    """Number of the chunk that a non-negative whole number falls in."""
-    return F.floor(F.col(column) / size).cast("long")
+def chunk_of(column: str, size: int | None) -> Column | None:
+    """Number of the chunk of so many that a whole number falls in; no chunk without a size."""
+    return None if size is None else F.floor(F.col(column) / size).cast("long")
 
 
-def with_lag(df: DataFrame, keys: list[str], position: str, offset: int, columns: dict[str, str], size: int) -> DataFrame:
+def with_lag(df: DataFrame, keys: list[str], position: str, offset: int, columns: dict[str, str], size: int | None) -> DataFrame:
     """Add ``columns`` (new name: old name) from ``offset`` rows earlier; positions are whole and have no gaps.
 
     Every row also visits the chunk its value is needed in, so chunks run alone however long the sequence is.
     """
+    if size is None:
+        back = Window.partitionBy(*keys).orderBy(position)
+        return df.withColumns({new: F.lag(old, offset).over(back) for new, old in columns.items()})
     size = max(size, offset)
     own = chunk_of(position, size)
     both = F.array_distinct(F.array(own, F.floor((F.col(position) + offset) / size).cast("long")))

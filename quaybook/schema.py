@@ -143,5 +143,10 @@ class Layout:
 
     #: Messages between two opening books of the interval join.
     book_chunk: int = 128
-    #: Messages in one piece of a running aggregate.
-    scan_chunk: int = 16384
+    #: Messages in one piece of a running aggregate; None: a symbol is one piece.
+    scan_chunk: int | None = None
+
+    @classmethod
+    def for_rows(cls, rows: int) -> Layout:
+        """The layout for symbols of at most so many messages: one piece each while a task can sort it with ease."""
+        return cls(scan_chunk=None if rows <= 4_000_000 else 1_000_000)

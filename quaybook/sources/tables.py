@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaybook.plans.scan import Running, running
+from quaybook.schema import Layout
 
-#: Seconds in one piece of the numbering below.
+#: Seconds in one piece of the numbering of long symbols.
 _SPAN = 90 * 86400
 
 
@@ -22,7 +23,7 @@ def _sided(key: str, spread_by: str) -> list[Column]:
     return [F.when(buys, 1).otherwise(-1).alias("direction"), F.when(buys, 10000 - steps).otherwise(10010 + steps).cast("long").alias("price")]
 
 
-def messages_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages_of_tables(spark: SparkSession, sf_dir: str, layout: Layout = Layout()) -> DataFrame:
     """Messages of five symbols: an order is an add; its lines cancel, execute, replace or trade, by line number and flag."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         (F.col("o_orderkey") % 5).cast("string").alias("symbol"),
@@ -52,7 +53,8 @@ def messages_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("amount"),
         F.col("l_suppkey").alias("supplier"),
     )
-    both = orders.unionByName(lines).withColumn("chunk", F.floor(F.col("at") / _SPAN).cast("long"))
+    both = orders.unionByName(lines)
+    span = None if layout.scan_chunk is None else F.floor(F.col("at") / _SPAN).cast("long")
     order = ["at", "source", "order_id", "line", "part", "amount", "supplier"]
-    numbered = running(both, ["symbol"], "chunk", order, [Running("n", "sum", F.lit(1).cast("long"))])
+    numbered = running(both, ["symbol"], span, order, [Running("n", "sum", F.lit(1).cast("long"))])
     return numbered.select("symbol", (F.col("n") - 1).alias("seq"), F.col("at").cast("double").alias("timestamp"), "event_type", "order_id", "size", "price", "direction")

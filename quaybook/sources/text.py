@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaybook.functions.columns import real_number, trim, whole_number
+from quaybook.plans.scan import Running, running
 
 _FIELDS = (("timestamp", "double"), ("event_type", "int"), ("order_id", "bigint"), ("size", "int"), ("price", "bigint"), ("direction", "int"))
 
@@ -56,15 +57,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_messages(spark: SparkSession, path: str, symbol: str = "") -> DataFrame:
     """The valid messages of the file or files at ``path`` as one stream in file order; malformed lines are left out."""
     good = parse(read_lines(spark, path)).where("message is not null")
-    order = Window.partitionBy("symbol").orderBy("place")
-    return good.select(F.lit(symbol).alias("symbol"), "message", "place").select(
-        "symbol", (F.row_number().over(order) - 1).cast("long").alias("seq"), *[f"message.{n}" for n, _ in _FIELDS]
-    )
+    # a split of a file is a chunk of the order, so no task sees more than one
+    rows = good.select(F.lit(symbol).alias("symbol"), "message", "place")
+    numbered = running(rows, ["symbol"], F.struct("place.file", "place.block"), ["place"], [Running("n", "sum", F.lit(1).cast("long"))])
+    return numbered.select("symbol", (F.col("n") - 1).alias("seq"), *[f"message.{n}" for n, _ in _FIELDS])
 
 
 def line_counts(lines: DataFrame, line: str = "value") -> DataFrame:
     """One row ``parsed, malformed``."""
-    return parse(lines, line).agg(F.count_if("message is not null").alias("parsed"), F.count_if("message is null").alias("malformed"))
+    return parse(lines, line).agg(F.count_if(F.col("message").isNotNull()).alias("parsed"), F.count_if(F.col("message").isNull()).alias("malformed"))
 
 
 def event_counts(messages: DataFrame) -> DataFrame:
