@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from quaybook.functions.columns import ratio
 from quaybook.operators.lifecycle import level_changes, level_deltas
 from quaybook.plans.scan import Running, chunk_of, running
-from quaybook.schema import BUY, SELL, Layout
+from quaybook.schema import BUY, SELL, Backend, Layout
 
 _SPINE = ("symbol", "seq", "timestamp", "event_type", "size", "price", "direction")
 
 
-def ladders(messages: DataFrame, depth: int = 10, layout: Layout = Layout()) -> DataFrame:
-    """The messages with ``bids`` and ``asks``, the best ``depth`` levels of each side after each of them.
+def _met(messages: DataFrame, layout: Layout) -> DataFrame:
+    """Every message with each level that lives after it, partitioned by symbol and chunk; one row if there is no level.
 
     Every state of a level holds over an interval of messages.  Intervals are cut at chunk borders, so messages meet only levels
-    that live in their chunk, by an equality join on the chunk; ranking happens inside the group of one message, so nothing is
-    shuffled after the join.  A message with an empty book keeps its row.
+    that live in their chunk, by an equality join on the chunk.
     """
     changes = level_changes(messages).where("order_count > 0")
     last = messages.groupBy("symbol").agg(F.max("seq").alias("last_seq"))
@@ -27,7 +26,16 @@ def ladders(messages: DataFrame, depth: int = 10, layout: Layout = Layout()) ->
     pieces = lived.select("symbol", F.explode(chunks).alias("chunk"), F.col("seq").alias("start"), "end", "side", F.col("price").alias("level_price"), "total_size", "order_count")
     spine = messages.select(*_SPINE).withColumn("chunk", chunk_of("seq", layout.book_chunk))
     meets = (spine["symbol"] == pieces["symbol"]) & (spine["chunk"] == pieces["chunk"]) & (spine["seq"] >= pieces["start"]) & (spine["seq"] <= pieces["end"])
-    joined = spine.join(pieces.hint("shuffle_hash"), meets, "left").select(*[spine[c] for c in (*_SPINE, "chunk")], "side", "level_price", "total_size", "order_count")
+    return spine.join(pieces.hint("shuffle_hash"), meets, "left").select(*[spine[c] for c in (*_SPINE, "chunk")], "side", "level_price", "total_size", "order_count")
+
+
+def ladders(messages: DataFrame, depth: int = 10, layout: Layout = Layout()) -> DataFrame:
+    """The messages with ``bids`` and ``asks``, the best ``depth`` levels of each side after each of them.
+
+    Ranking happens inside the group of one message, so nothing is shuffled after the join.  A message with an empty book keeps
+    its row.
+    """
+    joined = _met(messages, layout)
     level = F.struct(F.col("level_price").alias("price"), "total_size", "order_count", "side")
     best = lambda side, up: F.slice(F.sort_array(F.collect_list(F.when(F.col("side") == side, level)), up), 1, depth)
     # the chunk leads the keys, so the join's partitioning serves the aggregate too
@@ -39,22 +47,34 @@ def _total(side: str, levels: int) -> Column:
 
 
 def book_columns(states: DataFrame) -> DataFrame:
-    """Add best prices, spread, mid, depths and imbalance to rows with ``bids`` and ``asks``."""
+    """Add best prices, depths and what derives from them to rows with ``bids`` and ``asks``."""
     out = states.withColumns({"best_bid": F.get("bids", F.lit(0))["price"], "best_ask": F.get("asks", F.lit(0))["price"]})
-    bid, ask = F.col("best_bid"), F.col("best_ask")
-    out = out.withColumns(
-        {
-            "spread": F.try_subtract(ask, bid),
-            "mid": (bid.cast("double") + ask.cast("double")) / 2,
-            **{f"{name}_depth_{k}": _total(side, k) for name, side in (("bid", "bids"), ("ask", "asks")) for k in (1, 5, 10)},
-        }
-    )
-    b, a = F.col("bid_depth_5"), F.col("ask_depth_5")
-    return out.withColumn("order_imbalance", ratio(b - a, b + a))
+    return derived_columns(out.withColumns({f"{name}_depth_{k}": _total(side, k) for name, side in (("bid", "bids"), ("ask", "asks")) for k in (1, 5, 10)}))
+
+
+def derived_columns(states: DataFrame) -> DataFrame:
+    """Add spread, mid and imbalance to rows with best prices and depths."""
+    bid, ask, b, a = (F.col(c) for c in ("best_bid", "best_ask", "bid_depth_5", "ask_depth_5"))
+    return states.withColumns({"spread": F.try_subtract(ask, bid), "mid": (bid.cast("double") + ask.cast("double")) / 2, "order_imbalance": ratio(b - a, b + a)})
+
 
+def book_states(messages: DataFrame, backend: Backend = Backend.CHUNKED, layout: Layout = Layout()) -> DataFrame:
+    """The messages with best prices, spread, mid, depths and imbalance after each of them."""
+    if backend is Backend.RELATIONAL:
+        return book_columns(ladders(messages, 10, layout)).drop("bids", "asks")
+    from quaybook.operators.chunked import depths
 
-def book_states(messages: DataFrame, depth: int = 10, layout: Layout = Layout()) -> DataFrame:
-    return book_columns(ladders(messages, max(depth, 10), layout))
+    return derived_columns(depths(messages, layout))
+
+
+def top_of_book(messages: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """``symbol, seq, best_bid, best_ask, spread, mid`` by the interval join; only extremes are aggregated."""
+    joined = _met(messages, layout)
+    best = joined.groupBy("symbol", "chunk", "seq").agg(
+        F.max(F.when(F.col("side") == BUY, F.col("level_price"))).alias("best_bid"), F.min(F.when(F.col("side") == SELL, F.col("level_price"))).alias("best_ask")
+    )
+    bid, ask = F.col("best_bid"), F.col("best_ask")
+    return best.select("symbol", "seq", "best_bid", "best_ask", F.try_subtract(ask, bid).alias("spread"), ((bid.cast("double") + ask.cast("double")) / 2).alias("mid"))
 
 
 def active_orders(messages: DataFrame, layout: Layout = Layout()) -> DataFrame:

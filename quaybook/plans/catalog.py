@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaybook.functions.columns import level_text
 from quaybook.operators import analytics as an
 from quaybook.operators import book, lifecycle, prediction, stateful
-from quaybook.schema import ANALYTICS, AnalyticsConfig, Layout
+from quaybook.schema import ANALYTICS, AnalyticsConfig, Backend, Layout
 from quaybook.sources import tables, text
 
 #: The stream's days carry many messages each, so its time window is thirty of them.
@@ -96,7 +96,7 @@ def level_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(spark, sf_dir).select("symbol", "seq", "best_bid", "best_ask", "spread", "mid")
+    return book.top_of_book(*_stream(spark, sf_dir))
 
 
 def book_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,14 +159,20 @@ def analytics_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(an.analytics(messages, CONFIG, layout=layout))
 
 
+def relational_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by the interval join."""
+    messages, layout = _stream(spark, sf_dir)
+    return _rounded(an.analytics(messages, CONFIG, Backend.RELATIONAL, layout))
+
+
 def stateful_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows from the stateful backend."""
     return _rounded(stateful.replay(_messages(spark, sf_dir), CONFIG).select("symbol", "seq", *[c for c, _ in ANALYTICS]))
 
 
 def backend_parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in which the backends differ, by symbol; volatility and ratios to nine places."""
-    a, b = analytics_rows(spark, sf_dir), stateful_analytics(spark, sf_dir)
+    """Rows in which the relational and the stateful backend differ, by symbol; volatility and ratios to nine places."""
+    a, b = relational_analytics(spark, sf_dir), stateful_analytics(spark, sf_dir)
     other = b.select("symbol", "seq", F.struct(*[c for c, _ in ANALYTICS]).alias("other"))
     pairs = a.select("symbol", "seq", F.struct(*[c for c, _ in ANALYTICS]).alias("own")).join(other, ["symbol", "seq"], "full")
     near = F.lit(True)
@@ -210,6 +216,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         trade_flow_imbalance,
         realized_vol,
         analytics_rows,
+        relational_analytics,
         stateful_analytics,
         backend_parity_diff,
         future_move_labels,

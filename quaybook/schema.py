@@ -27,9 +27,10 @@ BUY, SELL = 1, -1
 
 
 class Backend(Enum):
-    """How book states are computed: by joins and windows, or by a sequential replay of each symbol."""
+    """How book states are computed: by an interval join, by replays of short pieces, or by one replay of each symbol."""
 
     RELATIONAL = "relational"
+    CHUNKED = "chunked"
     STATEFUL = "stateful"
 
     @classmethod
@@ -41,6 +42,7 @@ class Backend(Enum):
 _BACKEND_NAMES = {
     "relational": Backend.RELATIONAL,
     "map": Backend.RELATIONAL,
+    "chunked": Backend.CHUNKED,
     "stateful": Backend.STATEFUL,
     "flat": Backend.STATEFUL,
     "flat_vector": Backend.STATEFUL,
@@ -143,6 +145,8 @@ class Layout:
 
     #: Messages between two opening books of the interval join.
     book_chunk: int = 128
+    #: Messages that one piece of a chunked replay holds.
+    replay_chunk: int = 8192
     #: Messages in one piece of a running aggregate; None: a symbol is one piece.
     scan_chunk: int | None = None
 
