@@ -11,8 +11,8 @@ from quaybook.functions.columns import six_places
 from quaybook.schema import ANALYTICS, REPORT
 
 
-def _write_one(df: DataFrame, path: str, header: tuple[str, ...]) -> None:
-    """Write rows, already in order, as the single file ``path`` on its own file system; raises where that is impossible."""
+def _write_one(df: DataFrame, path: str, header: tuple[str, ...], order: list[str]) -> None:
+    """Write rows, by ``order``, as the single file ``path`` on its own file system; raises where that is impossible."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -21,10 +21,11 @@ def _write_one(df: DataFrame, path: str, header: tuple[str, ...]) -> None:
     if parent is not None and not files.exists(parent):
         raise OSError(f"cannot open {path} for writing")
     aside = f"{path}.{uuid.uuid4().hex}.parts"
-    texts = df.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in header]).alias("value"))
-    names = spark.createDataFrame([(",".join(header),)], "value string")
-    # a union keeps its parts in order, and one task writes them one after the other
-    names.coalesce(1).union(texts).coalesce(1).write.text(aside)
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in header])
+    rows = df.select(F.struct(*order).alias("place"), line.alias("value"))
+    # the names have no place, and so come first
+    names = spark.createDataFrame([(",".join(header),)], "value string").select(F.lit(None).cast(rows.schema["place"].dataType).alias("place"), "value")
+    names.union(rows).repartition(1).sortWithinPartitions(F.col("place").asc_nulls_first()).select("value").write.text(aside)
     try:
         part = next(s.getPath() for s in files.listStatus(jvm.org.apache.hadoop.fs.Path(aside)) if s.getPath().getName().startswith("part-"))
         if files.exists(target):
@@ -43,7 +44,7 @@ def analytics_text(rows: DataFrame) -> DataFrame:
 def write_analytics_csv(rows: DataFrame, path: str) -> None:
     """One file in message order; for output of any size use :func:`write_analytics`."""
     names = tuple(c for c, _ in ANALYTICS)
-    _write_one(analytics_text(rows).orderBy("symbol", "seq").select(*names), path, names)
+    _write_one(analytics_text(rows), path, names, ["symbol", "seq"])
 
 
 def write_analytics(rows: DataFrame, path: str) -> None:
@@ -52,8 +53,8 @@ def write_analytics(rows: DataFrame, path: str) -> None:
 
 
 def write_prediction_report_csv(report: DataFrame, path: str) -> None:
-    text = report.select(*[(six_places(F.col(c)) if c in REPORT[-3:] else F.col(c)).alias(c) for c in REPORT])
-    _write_one(text, path, REPORT)
+    text = report.select(F.monotonically_increasing_id().alias("place"), *[(six_places(F.col(c)) if c in REPORT[-3:] else F.col(c)).alias(c) for c in REPORT])
+    _write_one(text, path, REPORT, ["place"])
 
 
 def backend_output_path(base: str, backend: str, several: bool) -> str:
