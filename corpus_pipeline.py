@@ -25,7 +25,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, entries.pack_config())
+    # the stages share their Python workers, so this one remembers fewer words
+    return packing.pack(docs, entries.pack_config(cached_words=250_000))
 
 
 STAGES = [

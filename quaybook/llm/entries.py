@@ -11,10 +11,10 @@ from quaybook.llm import jaccard, licenses, neighbours, packing, pieces, pii, qu
 from quaybook.llm.shared import table
 
 
-def pack_config() -> packing.PackConfig:
+def pack_config(**settings: int) -> packing.PackConfig:
     import public_tokenizers
 
-    return packing.PackConfig(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.PackConfig(public_tokenizers.path("word_bpe_49k.json"), **settings)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaybook.llm.graph import components
-from quaybook.llm.shared import mix64, settle, whole_runs, window_hashes, word_hashes
+from quaybook.llm.shared import in_small_batches, mix64, settle, whole_runs, window_hashes, word_hashes
 
 #: Bits of a parity sketch: a power of two about the size of the set, within these limits.
 LEAST_BITS, MOST_BITS = 256, 16384
@@ -383,7 +383,7 @@ def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
 def find_links(docs: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFrame]:
     """``(sets, links)``: a row for each document with its set's size and class, and a forest of links ``u, v`` between classes."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     sampled = texts.where(F.pmod("key", F.lit(config.sample)) == 0).select("text")
     counted = sampled.mapInArrow(_sampled_tokens(config), "t long").groupBy("t").count().where(F.col("count") >= config.frequent)
     # at most `most_frequent` numbers, whatever the input

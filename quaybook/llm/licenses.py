@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaybook.llm.shared import hashed_words, mix64, window_hashes
+from quaybook.llm.shared import hashed_words, in_small_batches, mix64, window_hashes
 
 #: Names and passages of public licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -179,5 +179,5 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
             found = [[dict(zip(("name", "start", "end", "containment"), m, strict=True)) for m in known.matches(cell.as_py())] for cell in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _MATCHES)], names=["doc_id", "key", "matches"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, key long, matches array<struct<name:string,start:long,end:long,containment:double>>")

@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaybook.llm.shared import crc32_of_ids, settle
+from quaybook.llm.shared import crc32_of_ids, in_small_batches, settle
 
-#: Words remembered by one Python worker, and the longest word that is remembered.
-CACHED_WORDS, CACHED_LENGTH = 1_200_000, 40
+#: The longest word that is remembered.
+CACHED_LENGTH = 40
 _workers: dict[str, _Encoder] = {}
 
 
@@ -37,6 +37,8 @@ class PackConfig:
     tokenizer_path: str
     window: int = 2048
     end_id: int = 1
+    #: Words that a Python worker remembers, at 200 bytes each or so.
+    cached_words: int = 1_200_000
     #: This many combinations of at most four lengths enter a fit.
     max_combinations: int = 4096
     #: Lengths, most frequent first, tried as the middle part of a combination of three.
@@ -94,8 +96,8 @@ class _Encoder:
             known[word] = (known[core] if core in known else self.cache[core]) + (known[tail] if tail in known else self.cache[tail])
         return known
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHED_WORDS:
+    def texts(self, texts: list[str], most: int) -> list[bytes]:
+        if len(self.cache) > most:
             self.cache = {"": b""}
         split = [t.lower().replace("\n", " ").split(" ") for t in texts]
         fresh = self.learn(set().union(*split).difference(self.cache))
@@ -109,15 +111,15 @@ class _Encoder:
 _UNUSUAL = ("<|", "\u0130", "\u03a3")
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
+def encode_texts(texts: list[str | None], path: str, cached_words: int = 1_200_000) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers; the worker remembers about ``cached_words`` words."""
     if path not in _workers:
         _workers[path] = _Encoder(path)
     encoder, out = _workers[path], []
     for at in range(0, len(texts), 128):
         part = [t or "" for t in texts[at : at + 128]]
         usual = [encoder.by_words and not any(x in t for x in _UNUSUAL) for t in part]
-        by_words = iter(encoder.texts([t for t, u in zip(part, usual, strict=True) if u]))
+        by_words = iter(encoder.texts([t for t, u in zip(part, usual, strict=True) if u], cached_words))
         whole = iter(encoder.whole([t for t, u in zip(part, usual, strict=True) if not u]))
         out += [next(by_words if u else whole) for u in usual]
     return out
@@ -137,7 +139,7 @@ def tokenize(docs: DataFrame, config: PackConfig, with_ids: bool = False) -> Dat
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 rows: list[tuple] = []
-                for ids in encode_texts(batch.column(1).to_pylist(), path):
+                for ids in encode_texts(batch.column(1).to_pylist(), path, config.cached_words):
                     ids += end
                     cut = len(ids) // 4 // window * window * 4
                     full = [ids[i : i + 4 * window] for i in range(0, cut, 4 * window)]
@@ -164,7 +166,7 @@ def tokenize(docs: DataFrame, config: PackConfig, with_ids: bool = False) -> Dat
                     names=["doc_id", "tokens", "part", "first_full", "full", "rem", "rank", "rem_crc", "rem_ids"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _TOKENIZED)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _TOKENIZED)
 
 
 def combinations(histogram: dict[int, int], config: PackConfig, depth: int = 3) -> list[tuple[int, ...]]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaybook.llm.shared import crc32_of_ids
+from quaybook.llm.shared import crc32_of_ids, in_small_batches
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -256,7 +256,7 @@ def encode_documents(docs: DataFrame, path: str, kind: str = "bpe", with_ids: bo
                     names=["doc_id", "key", "ids", "n_ids", "ids_crc32", "n_byte_ids", "round_trip"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, _ENCODED)
 
 

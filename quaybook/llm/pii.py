@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaybook.llm.shared import settle, span_list
+from quaybook.llm.shared import in_small_batches, settle, span_list
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -169,7 +169,7 @@ def score_graph(edges: DataFrame, config: BootstrapConfig = BootstrapConfig()) -
 
 def find(docs: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFrame:
     """``doc_id, key, n_*, base_sha256, spans, n_added``; ``key`` is ``xxhash64(text)``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     base = settle(rows.mapInArrow(_scan, _FOUND))
     mentions = base.where("size(mentions) > 0").select("doc_id", "key", F.explode("mentions").alias("m"))
     edges = settle(mentions.select(F.explode("m.patterns").alias("pattern"), F.col("m.value").alias("value"), F.col("m.kind").alias("kind")).distinct())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaybook.llm.shared import one_label
+from quaybook.llm.shared import in_small_batches, one_label
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "long_word", "distinct_share", "repeat_share", "capital_share", "digit_share", "symbol_share",
@@ -111,7 +111,7 @@ def fit_nonnegative(a: np.ndarray, b: np.ndarray, prior: float, config: PuConfig
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, config: PuConfig = PuConfig()) -> PuModel:
     """Fit with positives among labels for whose rows ``may_learn`` holds."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     trusted = one_label(labels.where(may_learn), "quality", "y").where("y = 1").select("doc_id")
     n, total = trusted.count(), docs.count()
     if not n or not total:
@@ -151,6 +151,6 @@ def _score(model: PuModel) -> Callable:
 
 def score(docs: DataFrame, model: PuModel) -> DataFrame:
     """``doc_id, score, predicted`` for each document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(_score(model), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

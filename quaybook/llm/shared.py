@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaybook.plans.lineage import settle
+
+__all__ = ["settle"]
+
 #: ASCII white space of the text contracts, as a character class body for Java and Python patterns.
 WHITE = r"\x20\x09-\x0D"
 
@@ -21,17 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation.
+#: Rows of text that go to a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, after making sure that the session sends rows to Python workers in small batches.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder is used.
+    Texts can be very long, and a batch of the usual ten thousand of them is held several times over.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaybook-checkpoint-"))
-    return df.checkpoint()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "0")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def crc_of_id(doc_id: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaybook.llm.shared import crc_of_id, one_label, settle
+from quaybook.llm.shared import crc_of_id, in_small_batches, one_label, settle
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that count as tokens too, so that inflected forms support each other.
@@ -38,7 +38,7 @@ def with_stems(words: set[str]) -> set[str]:
 class _Lookup(dict):
     """Score of any word: its own, else that of its longest beginning that has one, else 0; a bounded number is remembered."""
 
-    def __init__(self, scores: dict[str, float], most: int = 500_000) -> None:
+    def __init__(self, scores: dict[str, float], most: int = 100_000) -> None:
         super().__init__()
         self.scores, self.most = scores, most
 
@@ -156,7 +156,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, may_learn:
     n = usable.count()
     if n > most:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # bounded by `most`, so it may be sent everywhere; so may the ids of one row for each text
     hashed = rows.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(usable), "doc_id")
     once = hashed.groupBy("h").agg(F.min(F.struct("doc_id", "y")).alias("r")).select("r.doc_id", "r.y").distinct()
@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: ToxicModel, config: ToxicConfig = ToxicConfig(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(passages, _PASSAGES)], names=["doc_id", "key", "score", "passages"]
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, _SCORED)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -290,4 +290,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, config: ToxicConfig = Toxic
             keep = [model.score(*model.statistics(t.as_py())[:3]) < 0.5 for t in texts]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return in_small_batches(docs).mapInArrow(judge, docs.schema)
