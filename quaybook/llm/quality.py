@@ -3,7 +3,8 @@
 Trusted positives are labelled texts of good quality; a bounded sample of all texts, taken without their labels, is the unlabelled set.
 The class prior is estimated by the best-bin bound: where negatives vanish, the unlabelled set is as dense as the prior times the
 positives.  A logistic model over binned statistics of a text then minimises the non-negative unbiased risk, in which the
-estimated risk of the negatives, unlabelled minus prior times positives, is never allowed below zero.
+estimated risk of the negatives, unlabelled minus prior times positives, is never allowed below zero.  Its intercept is set so that
+the share of the unlabelled texts at half or above is the prior.
 
 Defined cases: a null or empty text has the statistics of an empty one and gets a score; a null id takes no part in training;
 without positives every score is 0.5; repeated rows are scored one by one; other columns are left alone.
@@ -135,6 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, config: PuConfi
     w = fit_nonnegative(a[::2], b[::2], 0.5, config)
     model.prior = estimate_prior(a[1::2] @ w, b[1::2] @ w) if len(a) > 1 and len(b) > 1 else 0.5
     model.weights = fit_nonnegative(a, b, model.prior, config)
+    # as large a share of the unlabelled texts scores half or more as the prior says are positive
+    model.weights[-1] -= np.quantile(b @ model.weights, 1 - model.prior)
     return model
 
 
