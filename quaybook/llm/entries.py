@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaybook.llm import jaccard, licenses, neighbours, packing, pieces, pii, quality, rules, secrets, toxicity
+from quaybook.llm import jaccard, licenses, neighbours, oracle, packing, pieces, pii, quality, rules, secrets, toxicity
 from quaybook.llm.shared import table
 
 
@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secret_scan": oracle.SECRET_SCAN, "op7_ngram_jaccard": oracle.NGRAM_JACCARD}

@@ -84,8 +84,8 @@ class _Encoder:
         plain = list(simple.union(c for _, c, _ in stopped if c not in self.cache))
         if plain:
             # each of these is one word to the tokenizer, so as many ids carry the mark
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-            raw, start = ids.tobytes(), 0
+            raw, start = self.whole([" ".join(plain)])[0], 0
+            ids = np.frombuffer(raw, "<u4")
             for word, end in zip(plain, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
                 known[word] = raw[start:end]
                 start = end
