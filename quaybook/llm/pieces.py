@@ -16,6 +16,7 @@ where the model has none; repeated rows are encoded one by one; an empty table g
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,61 +90,66 @@ class StreamingEncoder:
     def __init__(self, model: PieceModel) -> None:
         self.model = model
         self.text = ""
-        #: For each position since the last committed boundary: length of the last piece on its path, and the path's score.
-        self.back: list[int] = [0]
+        #: The last piece on the path to each position since the committed boundary; the piece before that boundary leads.
+        self.last: list[str | None] = [None]
+        #: For a unigram model, the score of each of these paths.
         self.total: list[float] = [0.0]
-        #: The piece before the committed boundary.
-        self.before: str | None = None
 
     def _extend(self) -> None:
-        model, text = self.model, self.text
-        ids, scores, ends, back, merges = model.ids, model.scores, model.ends, self.back, model.kind == "bpe"
-        compatible = model.compatible
-        for end in range(len(back), len(text) + 1):
-            chosen, best = 0, -np.inf
-            start = end
-            while start:
+        model, text, last, ids, ends = self.model, self.text, self.last, self.model.ids, self.model.ends
+        merges, compatible, total, scores = model.kind == "bpe", model.compatible, self.total, model.scores
+        for end in range(len(last), len(text) + 1):
+            start = end - 1
+            piece = chosen = text[start:end]
+            best = -np.inf
+            while True:
+                if piece in ids or start == end - 1:
+                    if merges:
+                        previous = last[start]
+                        if previous is None or (found := compatible.get((previous, piece))) or (found is None and model.fits(previous, piece)):
+                            chosen = piece
+                            break
+                    elif (score := total[start] + scores.get(piece, model.worst)) > best:
+                        chosen, best = piece, score
+                elif piece not in ends:
+                    break
+                if not start:
+                    break
                 start -= 1
                 piece = text[start:end]
-                if piece not in ends and start < end - 1:
-                    break
-                if piece not in ids and start < end - 1:
-                    continue
-                if merges:
-                    previous = text[start - back[start] : start] if start else self.before
-                    if previous is None or (found := compatible.get((previous, piece))) or (found is None and model.fits(previous, piece)):
-                        chosen = end - start
-                        break
-                else:
-                    score = self.total[start] + scores.get(piece, model.worst)
-                    if score > best:
-                        chosen, best = end - start, score
-            back.append(chosen)
-            self.total.append(best)
+            last.append(chosen)
+            if not merges:
+                total.append(best)
 
     def _commit(self, boundary: int) -> list[int]:
         pieces, at = [], boundary
         while at:
-            pieces.append(self.text[at - self.back[at] : at])
-            at -= self.back[at]
-        pieces.reverse()
-        out = [i for p in pieces for i in self.model.ids_of(p)]
+            piece = self.last[at]
+            pieces.append(piece)
+            at -= len(piece)
         if pieces:
-            self.before = pieces[-1]
             self.text = self.text[boundary:]
-            base = self.total[boundary]
-            self.back = [0, *self.back[boundary + 1 :]]
-            self.total = [0.0, *(t - base for t in self.total[boundary + 1 :])]
+            # the piece that ends at the boundary leads from now on
+            self.last = self.last[boundary:]
+            self.total = [t - self.total[boundary] for t in self.total[boundary:]]
+        of, ids_of = self.model.ids, self.model.ids_of
+        out: list[int] = []
+        for piece in reversed(pieces):
+            found = of.get(piece)
+            if found is None:
+                out += ids_of(piece)
+            else:
+                out.append(found)
         return out
 
     def meeting(self) -> int:
         """The last boundary that the paths of all positions that can still be built upon run through."""
-        live = {i for i in range(max(0, len(self.text) - self.model.longest + 1), len(self.text) + 1) if i == 0 or self.back[i]}
+        live = set(range(max(0, len(self.text) - self.model.longest + 1), len(self.text) + 1))
         while len(live) > 1:
-            last = max(live)
-            live.remove(last)
-            live.add(last - self.back[last])
-        return live.pop() if live else 0
+            end = max(live)
+            live.remove(end)
+            live.add(end - len(self.last[end]))
+        return live.pop()
 
     def feed(self, part: str) -> list[int]:
         out: list[int] = []
@@ -156,20 +162,34 @@ class StreamingEncoder:
 
     def finish(self) -> list[int]:
         out = self._commit(len(self.text))
-        self.before = None
+        self.last = [None]
         return out
 
 
+class _Decoder(dict):
+    """Bytes of an id, for fast decoding of many."""
+
+    def __init__(self, model: PieceModel) -> None:
+        # a word mark that a text brings itself is read as a space
+        super().__init__({i: bytes([model.values[i]]) if i in model.values else p.replace(MARK, " ").encode() for i, p in enumerate(model.pieces)})
+
+
 class _Remembered(dict):
     """Ids of a segment as bytes; a bounded number of short segments is remembered."""
 
     def __init__(self, model: PieceModel, most: int = 1_000_000, length: int = 40) -> None:
         super().__init__()
         self.model, self.most, self.length = model, most, length
+        self.decoder = _Decoder(model)
+        #: Segments met so far whose ids do not give them back; none for a model with byte pieces.
+        self.lossy: set[str] = set()
 
     def __missing__(self, segment: str) -> bytes:
         encoder = StreamingEncoder(self.model)
-        ids = np.array(encoder.feed(segment) + encoder.finish(), "<u4").tobytes()
+        numbers = encoder.feed(segment) + encoder.finish()
+        ids = array("I", numbers).tobytes()
+        if b"".join(map(self.decoder.__getitem__, numbers)) != segment.replace(MARK, " ").encode("utf-8", "surrogatepass"):
+            self.lossy.add(segment)
         if len(segment) <= self.length:
             if len(self) >= self.most:
                 self.clear()
@@ -186,14 +206,17 @@ def remembered(path: str, kind: str = "bpe") -> _Remembered:
     return _workers[path, kind]
 
 
-def encode(text: str | None, known: _Remembered) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
+def segments(text: str | None, model: PieceModel) -> list[str]:
+    """The marked text, cut where no piece can reach across."""
     if not text:
-        return b""
+        return []
     marked = MARK + text.replace(" ", MARK)
-    if not known.model.by_words:
-        return known.__missing__(marked)
-    return b"".join(map(known.__getitem__, _SEGMENT.findall(marked)))
+    return _SEGMENT.findall(marked) if model.by_words else [marked]
+
+
+def encode(text: str | None, known: _Remembered) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return b"".join(map(known.__getitem__, segments(text, known.model)))
 
 
 def decode(ids: bytes, model: PieceModel) -> str:
@@ -208,13 +231,6 @@ def decode(ids: bytes, model: PieceModel) -> str:
     return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
-class _Decoder(dict):
-    """Bytes of an id, for fast decoding of many."""
-
-    def __init__(self, model: PieceModel) -> None:
-        super().__init__({i: bytes([model.values[i]]) if i in model.values else p.replace(MARK, " ").encode() for i, p in enumerate(model.pieces)})
-
-
 _ENCODED = "doc_id long, key long, ids binary, n_ids long, ids_crc32 long, n_byte_ids long, round_trip boolean"
 
 
@@ -226,7 +242,6 @@ def encode_documents(docs: DataFrame, path: str, kind: str = "bpe", with_ids: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = remembered(path, kind)
-        decoder = _Decoder(known.model)
         is_byte = np.zeros(len(known.model.pieces), bool)
         is_byte[list(known.model.values)] = True
         for whole in batches:
@@ -234,15 +249,15 @@ def encode_documents(docs: DataFrame, path: str, kind: str = "bpe", with_ids: bo
                 batch = whole.slice(at, 1024)
                 ids, n, crc, raw, same = [], [], [], [], []
                 for cell in batch.column(2):
-                    text = cell.as_py() or ""
-                    found = encode(text, known)
+                    parts = segments(cell.as_py(), known.model)
+                    found = b"".join(map(known.__getitem__, parts))
                     numbers = np.frombuffer(found, "<u4")
-                    back = b"".join(map(decoder.__getitem__, numbers.tolist()))
                     ids.append(found if with_ids else None)
                     n.append(len(numbers))
                     crc.append(crc32_of_ids(found))
                     raw.append(int(np.count_nonzero(is_byte[numbers])))
-                    same.append(back[1:] == text.encode("utf-8", "surrogatepass"))
+                    # decoding joins what the segments decode to
+                    same.append(known.lossy.isdisjoint(parts) if known.lossy else True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
