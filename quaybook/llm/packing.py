@@ -38,7 +38,7 @@ class PackConfig:
     window: int = 2048
     end_id: int = 1
     #: Words that a Python worker remembers, at 200 bytes each or so.
-    cached_words: int = 1_200_000
+    cached_words: int = 1_500_000
     #: This many combinations of at most four lengths enter a fit.
     max_combinations: int = 4096
     #: Lengths, most frequent first, tried as the middle part of a combination of three.
@@ -111,7 +111,7 @@ class _Encoder:
 _UNUSUAL = ("<|", "\u0130", "\u03a3")
 
 
-def encode_texts(texts: list[str | None], path: str, cached_words: int = 1_200_000) -> list[bytes]:
+def encode_texts(texts: list[str | None], path: str, cached_words: int = 1_500_000) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers; the worker remembers about ``cached_words`` words."""
     if path not in _workers:
         _workers[path] = _Encoder(path)
