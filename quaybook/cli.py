@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from quaybook.schema import AnalyticsConfig, Backend
 from quaybook.sinks.csv import backend_output_path, write_analytics_csv, write_prediction_report_csv
@@ -12,7 +13,7 @@ from quaybook.sinks.csv import backend_output_path, write_analytics_csv, write_p
 USAGE = """usage: quaybook FILE [--backend map|flat|both] [--depth N] [--repeat N]
                 [--analytics-out PATH] [--trade-window-messages N] [--realized-vol-window-seconds X]
                 [--prediction-report-out PATH --prediction-horizons N,N,...]
-       quaybook time --dataset FILE [--backend map|flat|both] [--depth N] [--repeat N]"""
+       quaybook time --dataset FILE [--backend map|flat|both] [--reserve on|off|both] [--depth N] [--repeat N]"""
 
 _LARGEST = 2**31 - 1
 
@@ -37,6 +38,12 @@ def positive_number(text: str) -> float:
     return value
 
 
+def on_off_or_both(text: str) -> str:
+    if text not in ("on", "off", "both"):
+        raise BadArguments(f"not on, off or both: {text}")
+    return text
+
+
 def horizons(text: str) -> tuple[int, ...]:
     found = []
     for entry in text.split(","):
@@ -64,6 +71,8 @@ class Options:
     realized_vol_window_seconds: float = 300.0
     prediction_report_out: str = ""
     prediction_horizons: tuple[int, ...] = field(default=())
+    #: Taken for the sake of scripts; Spark sizes its own memory.
+    reserve: str = "both"
 
 
 _FLAGS = {
@@ -76,7 +85,7 @@ _FLAGS = {
     "--prediction-report-out": ("prediction_report_out", str),
     "--prediction-horizons": ("prediction_horizons", horizons),
 }
-_TIME_FLAGS = {"--dataset": ("path", str)} | {k: _FLAGS[k] for k in ("--backend", "--depth", "--repeat")}
+_TIME_FLAGS = {"--dataset": ("path", str), "--reserve": ("reserve", on_off_or_both)} | {k: _FLAGS[k] for k in ("--backend", "--depth", "--repeat")}
 
 
 def parse(arguments: list[str], flags: dict, options: Options) -> Options:
@@ -144,6 +153,9 @@ def main(arguments: list[str]) -> int:
     from quaybook.sources.text import exists, ingest_summary, read_lines, read_messages
 
     spark = local_session()
+    if timing and not exists(spark, options.path):
+        # as given, or from the folder that holds the package
+        options.path = str(Path(__file__).resolve().parent.parent / options.path)
     if not exists(spark, options.path):
         print(f"Could not open file: {options.path}", file=sys.stderr)
         return 1

@@ -77,6 +77,12 @@ def top_of_book(messages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     return best.select("symbol", "seq", "best_bid", "best_ask", F.try_subtract(ask, bid).alias("spread"), ((bid.cast("double") + ask.cast("double")) / 2).alias("mid"))
 
 
+def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one frame has more often than the other; empty if they are equal as collections."""
+    same = b.select(*a.columns)
+    return a.exceptAll(same).union(same.exceptAll(a))
+
+
 def active_orders(messages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """``symbol, seq, active_orders``: live orders after each message."""
     changes = level_deltas(messages).groupBy("symbol", "seq").agg(F.sum("dcount").alias("dcount"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from quaybook.functions.columns import level_text
 from quaybook.operators import analytics as an
 from quaybook.operators import book, lifecycle, prediction, stateful
-from quaybook.schema import ANALYTICS, AnalyticsConfig, Backend, Layout
+from quaybook.plans.lineage import shared_folder
+from quaybook.schema import ANALYTICS, MESSAGE, AnalyticsConfig, Backend, Layout
 from quaybook.sources import tables, text
+from quaybook.streaming.messages import stream_analytics
 
 #: The stream's days carry many messages each, so its time window is thirty of them.
 CONFIG = AnalyticsConfig(trade_window_messages=200, realized_vol_window_seconds=30 * 86400.0)
@@ -170,6 +173,17 @@ def stateful_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stateful.replay(_messages(spark, sf_dir), CONFIG).select("symbol", "seq", *[c for c, _ in ANALYTICS]))
 
 
+def streaming_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a stream over the messages, as files, until all that is there has been taken."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _messages(spark, sf_dir).repartition("symbol").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(MESSAGE).parquet(f"{folder}/in")
+    rows = stream_analytics(stream, CONFIG, order="seq")
+    query = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _rounded(spark.read.parquet(f"{folder}/out").select("symbol", "seq", *[c for c, _ in ANALYTICS]))
+
+
 def backend_parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in which the relational and the stateful backend differ, by symbol; volatility and ratios to nine places."""
     a, b = relational_analytics(spark, sf_dir), stateful_analytics(spark, sf_dir)
@@ -218,6 +232,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         analytics_rows,
         relational_analytics,
         stateful_analytics,
+        streaming_analytics,
         backend_parity_diff,
         future_move_labels,
         prediction_summary,

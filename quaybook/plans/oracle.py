@@ -225,6 +225,7 @@ def oracle_sql() -> dict[str, str]:
         "realized_vol": _with(("volatility",), " SELECT symbol, seq, round(rolling_realized_vol, 6) AS rolling_realized_vol FROM volatility"),
         "analytics_rows": _with(("book", "trades", "volatility"), _ANALYTICS),
         "relational_analytics": _with(("book", "trades", "volatility"), _ANALYTICS),
+        "streaming_analytics": _with(("book", "trades", "volatility"), _ANALYTICS),
         "stateful_analytics": _with(("book", "trades", "volatility"), _ANALYTICS),
         "backend_parity_diff": _with(("messages",), " SELECT symbol, count(*) AS n_rows, CAST(0 AS BIGINT) AS differing FROM messages GROUP BY symbol"),
         "future_move_labels": _with(("moves",), " SELECT symbol, seq AS message_index, move, distance FROM moves"),

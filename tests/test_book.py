@@ -136,6 +136,12 @@ def test_backends_agree_on_random_streams(spark, steps):
         assert all(near(x, y, 1e-9) for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True)), b
 
 
+def test_rows_that_differ(spark):
+    a, b = an.analytics(frame(spark, LIFECYCLE)), an.analytics(frame(spark, LIFECYCLE), backend=Backend.STATEFUL)
+    assert book.differing_rows(a.select("seq", "mid"), b.select("mid", "seq")).isEmpty()
+    assert book.differing_rows(a.select("seq"), b.where("seq > 0").select("seq")).count() == 1
+
+
 def test_symbols_do_not_mix(spark):
     random.seed(2)
     a, b = frame(spark, LIFECYCLE, "a"), frame(spark, EDGES, "b")

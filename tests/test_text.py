@@ -103,6 +103,9 @@ def test_arguments():
     for bad in (["f", "--depth", "0"], ["f", "--repeat", "-1"], ["f", "g"], [], ["f", "--depth"], ["f", "--what", "1"], ["f", "--prediction-horizons", "5"], ["f", "--prediction-report-out", "r"], ["f", "--realized-vol-window-seconds", "-1"]):
         with pytest.raises(cli.BadArguments):
             cli.parse(bad, cli._FLAGS, cli.Options())
+    assert cli.parse(["--dataset", "f", "--reserve", "off"], cli._TIME_FLAGS, cli.Options()).reserve == "off"
+    with pytest.raises(cli.BadArguments):
+        cli.parse(["--dataset", "f", "--reserve", "maybe"], cli._TIME_FLAGS, cli.Options())
     assert cli.selected_backends("both") == [Backend.RELATIONAL, Backend.STATEFUL]
     assert cli.selected_backends("vector") == [Backend.STATEFUL]
     assert cli.selected_backends("tree") == []
