@@ -38,7 +38,7 @@ class PackConfig:
     window: int = 2048
     end_id: int = 1
     #: Words that a Python worker remembers, at 200 bytes each or so.
-    cached_words: int = 1_500_000
+    cached_words: int = 1_200_000
     #: This many combinations of at most four lengths enter a fit.
     max_combinations: int = 4096
     #: Lengths, most frequent first, tried as the middle part of a combination of three.
@@ -111,7 +111,7 @@ class _Encoder:
 _UNUSUAL = ("<|", "\u0130", "\u03a3")
 
 
-def encode_texts(texts: list[str | None], path: str, cached_words: int = 1_500_000) -> list[bytes]:
+def encode_texts(texts: list[str | None], path: str, cached_words: int = 1_200_000) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers; the worker remembers about ``cached_words`` words."""
     if path not in _workers:
         _workers[path] = _Encoder(path)
@@ -247,7 +247,9 @@ def pack(docs: DataFrame, config: PackConfig, with_ids: bool = False) -> DataFra
     spark, window = docs.sparkSession, config.window
     tokens = settle(tokenize(docs, config, with_ids))
     keys = ["part", "rem"]
-    counts = tokens.where("rem > 0").groupBy(*keys).agg((F.max("rank") + 1).alias("n"))
+    # one pass over the rows with their ids gives all that is counted
+    stats = settle(tokens.groupBy(*keys).agg((F.max("rank") + 1).alias("n"), F.sum(F.size("full")).alias("whole")))
+    counts = stats.where("rem > 0").drop("whole")
     before = Window.partitionBy("rem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     histogram = {r["rem"]: r["n"] for r in counts.groupBy("rem").agg(F.sum("n").alias("n")).collect()}
@@ -256,7 +258,7 @@ def pack(docs: DataFrame, config: PackConfig, with_ids: bool = False) -> DataFra
     # whole windows come after those of combinations and of the stream, partition after partition
     streamed = sum(n * (hi - lo) for n, lo, hi, _, _, s in rows if s)
     first = windows + -(-streamed // window)
-    whole = tokens.groupBy("part").agg(F.sum(F.size("full")).alias("n"))
+    whole = stats.groupBy("part").agg(F.sum("whole").alias("n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = whole.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0)) + first).drop("n")
 
@@ -296,7 +298,8 @@ def pack(docs: DataFrame, config: PackConfig, with_ids: bool = False) -> DataFra
         cut, uncut = rest.join(stored, [*keys, "rank"]), None
     else:
         # a stream window cuts one remainder at most, so few rows look up their ids
-        uncut, cut = rest.where(~F.col("cut")), settle(rest.where("cut"))
+        rest = settle(rest)
+        uncut, cut = rest.where(~F.col("cut")), rest.where("cut")
         if cut.count() <= config.broadcast_rows:
             cut = F.broadcast(cut)
         cut = stored.join(cut, [*keys, "rank"])
