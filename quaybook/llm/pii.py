@@ -142,7 +142,7 @@ class BootstrapConfig:
     #: Different seed values that a pattern needs, and the least confidence of patterns and of added instances.
     least_seeds: int = 3
     pattern_confidence: float = 0.8
-    instance_confidence: float = 0.9
+    instance_confidence: float = 0.95
 
 
 def score_graph(edges: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> tuple[DataFrame, DataFrame]:
