@@ -141,6 +141,8 @@ class BootstrapConfig:
     rounds: int = 3
     #: Different seed values that a pattern needs, and the least confidence of patterns and of added instances.
     least_seeds: int = 3
+    #: Confident patterns that an instance needs to be believed.
+    least_patterns: int = 2
     pattern_confidence: float = 0.8
     instance_confidence: float = 0.95
 
@@ -154,16 +156,18 @@ def score_graph(edges: DataFrame, config: BootstrapConfig = BootstrapConfig()) -
     totals = edges.groupBy("pattern").agg(F.countDistinct("value").alias("total"))
     unknown = edges.where("kind = ''").select("pattern", "value")
     believed = seeds.withColumn("seed", F.lit(1))
-    patterns = found = None
+    patterns = backed = None
     links = edges.select("pattern", "value").distinct()
     for _ in range(config.rounds):
         mass = links.join(believed, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum("seed").alias("seeds"))
         confident = mass.where(F.col("seeds") >= config.least_seeds).join(totals, "pattern").withColumn("confidence", F.col("mass") / F.col("total"))
         patterns = settle(confident.where(F.col("confidence") >= config.pattern_confidence).select("pattern", "kind", "confidence"))
         doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
-        found = settle(unknown.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score")))
-        believed = seeds.withColumn("seed", F.lit(1)).unionByName(found.withColumn("seed", F.lit(0)))
-    best = found.where(F.col("score") >= config.instance_confidence).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
+        found = settle(unknown.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"), F.count("*").alias("n")))
+        # what one pattern alone suggests would feed that pattern's own confidence
+        backed = found.where(F.col("n") >= config.least_patterns).drop("n")
+        believed = seeds.withColumn("seed", F.lit(1)).unionByName(backed.withColumn("seed", F.lit(0)))
+    best = backed.where(F.col("score") >= config.instance_confidence).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
     return patterns, best.select("value", "b.kind", "b.score")
 
 
