@@ -3,7 +3,8 @@
 Templates are notices and characteristic passages of licences, a list of bounded size.  Each belongs to the window length
 next above twice its own, and windows of every length in use run over the whole text, half a window apart, so that one of them holds
 any occurrence entirely.  Bands of one row each then retrieve a template with the probability that :func:`guarantee` gives.  A
-retrieved template is verified around the window: the share of its shingles there must reach the threshold.
+retrieved template is verified around the windows: each stretch whose share of its shingles reaches the threshold is a match, repeated
+ones included.
 
 A window without any shingle of any template cannot share a band with one but by a collision of hashes, so its bands are not drawn.
 
@@ -13,6 +14,8 @@ columns are ignored.  Words are runs of ASCII letters and digits or other charac
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,9 +112,11 @@ class Templates:
             return []
         raw = text.encode("utf-8", "surrogatepass")
         words, edges = hashed_words(raw, _BLANKS)
-        found: dict[tuple[int, int, int], float] = {}
+        #: Where a template was retrieved, as stretches of shingles.
+        places: dict[int, list[tuple[int, int]]] = {}
+        by_width: dict[int, np.ndarray] = {}
         for width, vocabulary in self.vocabulary.items():
-            shingles = window_hashes(words, width)
+            shingles = by_width[width] = window_hashes(words, width)
             at = np.minimum(np.searchsorted(vocabulary, shingles), len(vocabulary) - 1)
             inside = np.flatnonzero(vocabulary[at] == shingles)
             if not len(inside):
@@ -127,34 +132,82 @@ class Templates:
                         continue
                     hits = {k for band, low in enumerate(self.signature(np.unique(part)).tolist()) for k in table.get((band, low), ())}
                     for k in hits:
-                        if best := self._verified(self.templates[k], shingles, int(start), window):
-                            key = (k, best[0], best[1])
-                            found[key] = max(found.get(key, 0.0), best[2])
+                        low, high = max(0, int(start) - half), int(start) + window + half
+                        around = places.setdefault(k, [])
+                        if around and low <= around[-1][1]:
+                            around[-1] = (around[-1][0], high)
+                        else:
+                            around.append((low, high))
+        found = [(k, *m) for k, around in places.items() for low, high in around for m in self._verified(self.templates[k], by_width[self.templates[k].width], low, high)]
         chosen: list[tuple[int, int, int, float]] = []
-        for (k, a, b), share in sorted(found.items(), key=lambda x: (-x[1], -(x[0][2] - x[0][1]), x[0][1], x[0][0])):
-            if all(b <= c or d <= a for _, c, d, _ in chosen):
+        taken = _Apart()
+        for k, a, b, share in sorted(found, key=lambda x: (-x[3], -(x[2] - x[1]), x[1], x[0])):
+            if taken.limit(a) >= b:
+                taken.add(a, b)
                 chosen.append((k, a, b, share))
+        if not chosen:
+            return []
         first, last = edges[::2], edges[1::2]
-        points = lambda i: len(raw[:i].decode("utf-8", "surrogatepass"))
-        out = [(self.templates[k].name, points(int(first[a])), points(int(last[b - 1])), share) for k, a, b, share in chosen]
+        # every byte but the continuing ones begins a code point
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+        out = [(self.templates[k].name, int(points[first[a]]), int(points[last[b - 1]]), share) for k, a, b, share in chosen]
         return sorted(out, key=lambda m: (m[1], m[2], m[0]))
 
-    def _verified(self, template: Template, shingles: np.ndarray, start: int, window: int) -> tuple[int, int, float] | None:
-        """The template's shingles around the window: the densest stretch of about its length, if it holds enough of them."""
-        low = max(0, start - window // 2)
-        part = shingles[low : start + window + window // 2]
+    def _verified(self, template: Template, shingles: np.ndarray, low: int, high: int) -> list[tuple[int, int, float]]:
+        """All stretches of about the template's length that hold enough of its shingles and do not overlap, in words.
+
+        They are taken by share, then the shorter, then the earlier one; a stretch ends where it has all it can reach.
+        """
+        part = shingles[low:high]
         i = np.minimum(np.searchsorted(template.shingles, part), len(template.shingles) - 1)
         here = np.flatnonzero(template.shingles[i] == part)
-        if not len(here):
-            return None
-        reach = template.words + max(2, template.words // 4)
-        best = None
-        for k, a in enumerate(here.tolist()):
-            inside = here[k : int(np.searchsorted(here, a + reach))]
-            share = len(np.unique(part[inside])) / len(template.shingles)
-            if share >= self.config.containment and (best is None or share > best[2] + 1e-12):
-                best = (low + a, low + int(inside[-1]) + template.width, share)
-        return best
+        which, reach = i[here], template.words + max(2, template.words // 4)
+        least = self.config.containment * len(template.shingles) - 1e-9
+        stops = np.searchsorted(here, here + reach)
+
+        def longest(k: int, limit: float) -> tuple[float, int, int, int] | None:
+            """The stretch from a shingle on that ends at a word before the limit, as it ranks."""
+            stop = min(int(stops[k]), int(np.searchsorted(here, limit - template.width, "right")))
+            if stop - k < least:
+                return None
+            kinds, firsts = np.unique(which[k:stop], return_index=True)
+            if len(kinds) < least:
+                return None
+            a, b = int(here[k]), int(here[k + int(firsts.max())]) + template.width
+            return -len(kinds) / len(template.shingles), b - a, a, k
+
+        ranked = [m for k in np.flatnonzero(stops - np.arange(len(here)) >= least).tolist() if (m := longest(k, np.inf))]
+        heapq.heapify(ranked)
+        taken, out = _Apart(), []
+        while ranked:
+            share, length, a, k = heapq.heappop(ranked)
+            limit = taken.limit(a)
+            if limit >= a + length:
+                taken.add(a, a + length)
+                out.append((low + a, low + a + length, -share))
+            elif limit > a and (m := longest(k, limit)):
+                heapq.heappush(ranked, m)
+        return out
+
+
+class _Apart:
+    """Stretches that do not overlap."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def limit(self, a: int) -> float:
+        """How far a stretch from ``a`` on may go; ``a`` itself where that is taken."""
+        k = bisect.bisect_right(self.starts, a)
+        if k and self.ends[k - 1] > a:
+            return a
+        return self.starts[k] if k < len(self.starts) else np.inf
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect.bisect_right(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def guarantee(templates: Templates) -> float:

@@ -480,6 +480,49 @@ def brute_licenses(text, config):
     return out
 
 
+def brute_stretches(text, template, containment=0.8):
+    """Word stretches by share, the shorter, the earlier one, none overlapping one before it."""
+    words, t = ([w for w in re.split(r"[^a-z0-9]+", x.lower()) if w] for x in (text, template))
+    width = 5 if len(t) >= 20 else 2
+    grams = {tuple(t[i : i + width]) for i in range(len(t) - width + 1)}
+    at = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+    ranked = []
+    for i in range(len(at)):
+        seen = set()
+        for j in range(i, min(i + len(t) + max(2, len(t) // 4), len(at))):
+            seen |= {at[j]} & grams
+            if at[i] in grams and len(seen) >= containment * len(grams) - 1e-9:
+                ranked.append((-len(seen) / len(grams), j + width - i, i))
+    out = []
+    for _, n, a in sorted(ranked):
+        if all(a + n <= c or d <= a for c, d in out):
+            out.append((a, a + n))
+    return sorted(out)
+
+
+def test_repeated_notices_are_all_found():
+    config = licenses.LicenseConfig()
+    known = licenses.Templates(licenses.TEMPLATES, config)
+    spans = lambda text: [m[1:3] for m in known.matches(text)]
+    assert spans("All rights reserved. a b c All rights reserved.") == [(0, 19), (27, 46)]
+    assert spans("All rights reserved. All rights reserved.") == [(0, 19), (21, 40)]
+    assert len(spans("é All rights reserved. " * 3000)) == 3000
+    rng = random.Random(8)
+    for name, template in licenses.TEMPLATES:
+        one = licenses.Templates(((name, template),), config)
+        for _ in range(8):
+            copies = []
+            for _ in range(rng.randint(2, 5)):
+                words = template.split()
+                if rng.random() < 0.4:
+                    words[rng.randrange(len(words))] = "changed"
+                copies.append(" ".join([*words, *["filler"] * rng.choice((0, 0, 1, 3, 12, 60))]))
+            text = " ".join(copies)
+            edges = [m.span() for m in re.finditer("[A-Za-z0-9]+", text)]
+            want = [(edges[a][0], edges[b - 1][1]) for a, b in brute_stretches(text, template)]
+            assert [m[1:3] for m in one.matches(text)] == want, text
+
+
 def test_planted_licences_are_found():
     known, rng = licenses.Templates(licenses.TEMPLATES, licenses.LicenseConfig()), random.Random(6)
     assert licenses.guarantee(known) > 0.999
