@@ -173,6 +173,16 @@ class _Decoder(dict):
         # a word mark that a text brings itself is read as a space
         super().__init__({i: bytes([model.values[i]]) if i in model.values else p.replace(MARK, " ").encode() for i, p in enumerate(model.pieces)})
 
+    def gives(self, numbers: np.ndarray, text: bytes) -> bool:
+        """Whether ids decode to the text: all of their bytes, without the mark put first, are compared."""
+        at = -1
+        for k in range(0, len(numbers), 1 << 16):
+            part = b"".join(map(self.__getitem__, numbers[k : k + (1 << 16)].tolist()))
+            if part[1:] != text[: len(part) - 1] if at < 0 else part != text[at : at + len(part)]:
+                return False
+            at += len(part)
+        return max(at, 0) == len(text)
+
 
 class _Remembered(dict):
     """Ids of a segment as bytes; a bounded number of short segments is remembered."""
@@ -181,15 +191,11 @@ class _Remembered(dict):
         super().__init__()
         self.model, self.most, self.length = model, most, length
         self.decoder = _Decoder(model)
-        #: Segments met so far whose ids do not give them back; none for a model with byte pieces.
-        self.lossy: set[str] = set()
 
     def __missing__(self, segment: str) -> bytes:
         encoder = StreamingEncoder(self.model)
         numbers = encoder.feed(segment) + encoder.finish()
         ids = array("I", numbers).tobytes()
-        if b"".join(map(self.decoder.__getitem__, numbers)) != segment.replace(MARK, " ").encode("utf-8", "surrogatepass"):
-            self.lossy.add(segment)
         if len(segment) <= self.length:
             if len(self) >= self.most:
                 self.clear()
@@ -237,7 +243,7 @@ _ENCODED = "doc_id long, key long, ids binary, n_ids long, ids_crc32 long, n_byt
 def encode_documents(docs: DataFrame, path: str, kind: str = "bpe", with_ids: bool = True) -> DataFrame:
     """``doc_id, key, ids, n_ids, ids_crc32, n_byte_ids, round_trip``; ids are binary, little-endian unsigned 32-bit.
 
-    ``round_trip`` tells whether decoding gives the text back, ``key`` is ``xxhash64(text)``.
+    ``round_trip`` tells whether decoding these ids gives the text back, which a text that holds a word mark of its own does not; ``key`` is ``xxhash64(text)``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,15 +255,14 @@ def encode_documents(docs: DataFrame, path: str, kind: str = "bpe", with_ids: bo
                 batch = whole.slice(at, 1024)
                 ids, n, crc, raw, same = [], [], [], [], []
                 for cell in batch.column(2):
-                    parts = segments(cell.as_py(), known.model)
-                    found = b"".join(map(known.__getitem__, parts))
+                    text = cell.as_py()
+                    found = encode(text, known)
                     numbers = np.frombuffer(found, "<u4")
                     ids.append(found if with_ids else None)
                     n.append(len(numbers))
                     crc.append(crc32_of_ids(found))
                     raw.append(int(np.count_nonzero(is_byte[numbers])))
-                    # decoding joins what the segments decode to
-                    same.append(known.lossy.isdisjoint(parts) if known.lossy else True)
+                    same.append(known.decoder.gives(numbers, (text or "").encode("utf-8", "surrogatepass")))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),

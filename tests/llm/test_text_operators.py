@@ -433,6 +433,15 @@ def test_documents_round_trip(docs, library):
     assert texts(pieces.decode_documents(encoded, MODEL)) == {i: t or "" for i, t in whole.items()}
 
 
+def test_round_trip_compares_what_the_ids_decode_to(spark):
+    rows = [(1, "plain words"), (2, "a\u2581b"), (3, "\u2581"), (4, ""), (5, None), (6, " two  spaces "), (7, "long text \U0001f600 " * 20000), (8, "long text " * 20000 + "\u2581")]
+    encoded = pieces.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), MODEL)
+    decoded = texts(pieces.decode_documents(encoded, MODEL))
+    got = {r["doc_id"]: r["round_trip"] for r in encoded.collect()}
+    assert got == {i: decoded[i] == (t or "") for i, t in rows}
+    assert [i for i, same in got.items() if not same] == [2, 3, 8]
+
+
 def test_long_texts_are_committed_as_they_come(library):
     known = pieces.remembered(MODEL)
     text = "thequickbrownfox" * 3000
