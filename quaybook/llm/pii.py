@@ -5,6 +5,10 @@ graph, which Spark scores in turns: a pattern of a kind is as good as the share
 an instance as good as its patterns together.  Patterns of high confidence, backed by several different seeds, discover
 identifiers that the fixed patterns miss; their spans are added.
 
+Whatever stands beside the words of such a pattern is an instance: a run of pieces that are not plain words, inner spaces, brackets
+and colons included, or several plain words between two patterns.  A single plain word counts against its patterns, but is never added.
+Runs of more than 320 characters, the longest that an e-mail address can be, are no instances.
+
 Positions are code points, ends exclusive.  Every finder is linear in the text.
 
 Defined cases: a null text is empty; repeated rows each get the same result; an empty table gives no rows; other columns stay
@@ -14,7 +18,8 @@ out of :func:`find` and unchanged in :func:`redact`.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,9 +36,14 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_LONG_NUMBER = re.compile(r"[0-9]{4,}")
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@._+/-")
+_PIECE = re.compile(r"\S+")
+_PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_BRACKETED = re.compile(r"\[[^\W\d_]+\]|\([^\W\d_]+\)|\{[^\W\d_]+\}|<[^\W\d_]+>")
+_LABEL = re.compile(r"[^\W\d_]+[:=]+(?=[^\s:=])")
+_COLONS = re.compile(r"[0-9A-Fa-f.]*(?::[0-9A-Fa-f.]*){2,}(?:%\w+)?[,;.]*")
+#: Longest instance in characters, and most plain words between two patterns.
+_LONGEST, _MOST_WORDS = 320, 6
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -78,26 +88,107 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def unknown_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs that look like identifiers, at least five digits in at most 64 characters, outside the known spans."""
+def _pieces(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, str, bool]]:
+    """Runs without blanks, less the punctuation around them: start, end, sort, whether the next one follows directly.
+
+    Sorts are ``w`` a plain word, ``b`` a word in brackets, ``-`` no letter or digit, ``k`` in a known span, ``n`` all else.
+    """
+    out: list[tuple[int, int, str, bool]] = []
+    taken, at, last = sorted((a, b) for _, a, b in known), 0, -1
+    for m in _PIECE.finditer(text):
+        whole = m.group()
+        cuts = [0, len(whole)]
+        if (":" in whole or "=" in whole) and not _COLONS.fullmatch(whole) and (label := _LABEL.match(whole)):
+            cuts.insert(1, label.end())
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            part = whole[low:high]
+            core = part if part.isalpha() else part.lstrip("\"'`,;*")
+            a = m.start() + low + len(part) - len(core)
+            if not core.isalnum():
+                core = core.rstrip(".,!?;\"'`*") if core.endswith("::") else core.rstrip(".,!?;:=\"'`*")
+                for opening, closing in ("()", "[]", "{}", "<>"):
+                    if core.endswith(closing) and opening not in core:
+                        core = core.rstrip(closing)
+                    if core.startswith(opening) and closing not in core:
+                        a, core = a + len(core) - len(core.lstrip(opening)), core.lstrip(opening)
+            b = a + len(core)
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            if core.isalpha() or _PLAIN.fullmatch(core):
+                sort = "w"
+            elif _BRACKETED.fullmatch(core):
+                sort = "b"
+            else:
+                sort = "n" if any(c.isalnum() for c in core[:_LONGEST]) else "-"
+            if at < len(taken) and taken[at][0] < b:
+                sort = "k"
+            if out and 0 < a - last <= 2 and out[-1][1] == last and "\n" not in text[last:a]:
+                out[-1] = (*out[-1][:3], True)
+            out.append((a, b, sort, False))
+            last = b
+    return out
+
+
+def _runs(pieces: list[tuple[int, int, str, bool]]) -> list[tuple[int, int]]:
+    """First and last piece of each run; a word in brackets takes the pieces on both of its sides in."""
+    member = [sort == "n" for _, _, sort, _ in pieces]
+    for i in range(1, len(pieces) - 1):
+        if pieces[i - 1][3] and pieces[i][3]:
+            if pieces[i][2] == "b" and pieces[i - 1][2] in "wn" and pieces[i + 1][2] in "wn":
+                member[i - 1] = member[i] = member[i + 1] = True
+            elif pieces[i][2] == "-" and pieces[i - 1][2] == pieces[i + 1][2] == "n":
+                member[i] = True
     out: list[tuple[int, int]] = []
-    taken = sorted((a, b) for _, a, b in known)
-    for m in _LONG_NUMBER.finditer(text):
-        a, b = m.span()
-        if out and a < out[-1][1]:
-            continue
-        low, high = max(0, a - 64), min(len(text), b + 64)
-        while a > low and text[a - 1] in _TOKEN:
-            a -= 1
-        while b < high and text[b] in _TOKEN:
-            b += 1
-        while b > a and not text[b - 1].isalnum():
-            b -= 1
-        if b - a <= 64 and sum(c.isdigit() for c in text[a:b]) >= 5 and not any(x < b and a < y for x, y in taken):
-            out.append((a, b))
+    for i, inside in enumerate(member):
+        if inside and out and out[-1][1] == i - 1 and pieces[i - 1][3]:
+            out[-1] = (out[-1][0], i)
+        elif inside:
+            out.append((i, i))
     return out
 
 
+class Slots:
+    """What stands beside the words of given lexical patterns."""
+
+    def __init__(self, patterns: Iterable[str]) -> None:
+        self.patterns = frozenset(patterns)
+        self.before = frozenset(p[:-2].split(" ")[-1] for p in self.patterns if p.endswith(" _"))
+        self.after = frozenset(p[2:] for p in self.patterns if p.startswith("_ "))
+        self.words = self.before | self.after
+
+    def fill(self, text: str, known: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int, list[str]]], set[tuple[str, str]]]:
+        """Instances as start, end and patterns, and single plain words as pattern and word."""
+        if self.words.isdisjoint(_NEXT_WORD.findall(text.lower())):
+            return [], set()
+        pieces = _pieces(text, known)
+        runs = _runs(pieces)
+        spans = [(pieces[i][0], pieces[j][1]) for i, j in runs]
+        inside = {k for i, j in runs for k in range(i, j + 1)}
+        plain: set[tuple[str, str]] = set()
+        for i, (a, b, sort, joined) in enumerate(pieces):
+            if sort not in "wb" or i in inside:
+                continue
+            word = text[a:b].lower()
+            before = _NEXT_WORD.findall(text[pieces[i - 1][0] : pieces[i - 1][1]].lower()[-64:]) if i else []
+            after = _NEXT_WORD.search(text[pieces[i + 1][0] : pieces[i + 1][1]][:64].lower()) if i + 1 < len(pieces) else None
+            if not (before and before[-1] in self.before or after and after.group() in self.after):
+                continue
+            plain |= {(p, word) for p in contexts(text, a, b) if p in self.patterns}
+            if before and before[-1] in self.before and joined:
+                j = i
+                while j - i < _MOST_WORDS and j + 1 < len(pieces) and pieces[j][3] and pieces[j + 1][2] == "w" and j + 1 not in inside:
+                    j += 1
+                    follows = _NEXT_WORD.search(text, pieces[j][1], pieces[j][1] + 48)
+                    if j - i >= 2 and follows and follows.group().lower() in self.after:
+                        spans.append((a, pieces[j][1]))
+                        break
+        found = []
+        for a, b in spans:
+            if b - a <= _LONGEST and (own := [p for p in contexts(text, a, b) if p in self.patterns]):
+                found.append((a, b, own))
+        return found, plain
+
+
 def contexts(text: str, start: int, end: int, reach: int = 48) -> list[str]:
     """Lexical patterns of a mention: the word before it, the two before it, the word after it, lower-cased."""
     before = _NEXT_WORD.findall(text[max(0, start - reach) : start].lower())
@@ -128,14 +219,79 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for column, kind in zip(counts, KINDS, strict=True):
                     column.append(sum(k == kind for k, _, _ in known) if known else 0)
                 spans.append(span_list(known))
-                seen = [*known, *(("", a, b) for a, b in (unknown_spans(text, known) if _LONG_NUMBER.search(text) else ()))]
-                mentions.append([{"kind": k, "value": text[a:b][:64], "start": a, "end": b, "patterns": contexts(text, a, b)} for k, a, b in seen])
+                mentions.append([{"kind": k, "value": text[a:b][:_LONGEST], "start": a, "end": b, "patterns": contexts(text, a, b)} for k, a, b in known])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(spans, pa.string()), pa.array(mentions, _MENTIONS)],
                 names=["doc_id", "key", *(f"n_{k}" for k in KINDS), "spans", "mentions"],
             )
 
 
+def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each pattern plain words that stand beside it here, all or 4096 of them, and how often anything else does."""
+    slots = Slots(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain: dict[str, set[str]] = {}
+        other: Counter[str] = Counter()
+        for batch in batches:
+            seen: Counter[tuple[str, str, str]] = Counter()
+            for cell in batch.column(2):
+                if text := cell.as_py():
+                    words = ["", *text.lower().split()]
+                    seen.update(zip(words, words[1:], [*words[2:], ""], strict=False))
+            for (first, second, third), n in seen.items():
+                word = second if second.isalpha() else second.strip(".,:;!?=\"'()[]<>-")
+                own = []
+                if word in slots.before:
+                    own += [(f"{word} _", third), (f"{first.strip('.,:;!?=')} {word} _", third)]
+                if third in slots.after:
+                    own.append((f"_ {third}", second))
+                for pattern, filler in own:
+                    if pattern in slots.patterns and filler:
+                        # punctuation around a plain word leaves it one
+                        core = filler if filler.isalpha() else filler.strip("\"'`,;*.!?:=")
+                        if core.isalpha() or _PLAIN.fullmatch(core):
+                            # fewer than there are only keep a pattern in
+                            if len(held := plain.setdefault(pattern, set())) < 4096:
+                                held.add(core)
+                        else:
+                            other[pattern] += n
+        rows = [(p, w, 0) for p, held in plain.items() for w in held] + [(p, None, n) for p, n in other.items()]
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["pattern", "plain", "other"])
+
+    return run
+
+
+_FILLED = "doc_id long, key long, mentions array<struct<kind:string,value:string,start:int,end:int,patterns:array<string>>>, plain array<struct<pattern:string,value:string>>"
+_WORDS = pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string())]))
+
+
+def _filler(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    slots = Slots(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, mentions, words = [], [], [], set()
+            for doc_id, key, cell in zip(*batch.columns, strict=True):
+                text = cell.as_py() or ""
+                found, plain = slots.fill(text, base_spans(text))
+                words |= plain
+                if found:
+                    ids.append(doc_id.as_py())
+                    keys.append(key.as_py())
+                    mentions.append([{"kind": "", "value": text[a:b], "start": a, "end": b, "patterns": p} for a, b, p in found])
+            # the plain words of a batch are in a row of their own
+            rows = [[], *([] for _ in ids)]
+            rows[0] = [{"pattern": p, "value": v} for p, v in words]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *ids], pa.int64()), pa.array([None, *keys], pa.int64()), pa.array([[], *mentions], _MENTIONS), pa.array(rows, _WORDS)],
+                names=["doc_id", "key", "mentions", "plain"],
+            )
+
+    return run
+
+
 @dataclass(frozen=True)
 class BootstrapConfig:
     rounds: int = 3
@@ -150,14 +306,14 @@ class BootstrapConfig:
 def score_graph(edges: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> tuple[DataFrame, DataFrame]:
     """Patterns ``pattern, kind, confidence`` and discovered ``value, kind, score`` from distinct ``pattern, value, kind`` edges.
 
-    An edge of a seed has its kind, one of an unknown value the empty string.
+    An edge of a seed has its kind, one of an unknown value the empty string, one of a value that cannot be discovered none.
     """
     seeds = edges.where("kind <> ''").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     totals = edges.groupBy("pattern").agg(F.countDistinct("value").alias("total"))
     unknown = edges.where("kind = ''").select("pattern", "value")
     believed = seeds.withColumn("seed", F.lit(1))
     patterns = backed = None
-    links = edges.select("pattern", "value").distinct()
+    links = edges.where("kind is not null").select("pattern", "value").distinct()
     for _ in range(config.rounds):
         mass = links.join(believed, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum("seed").alias("seeds"))
         confident = mass.where(F.col("seeds") >= config.least_seeds).join(totals, "pattern").withColumn("confidence", F.col("mass") / F.col("total"))
@@ -175,10 +331,23 @@ def find(docs: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFr
     """``doc_id, key, n_*, base_sha256, spans, n_added``; ``key`` is ``xxhash64(text)``."""
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
     base = settle(rows.mapInArrow(_scan, _FOUND))
-    mentions = base.where("size(mentions) > 0").select("doc_id", "key", F.explode("mentions").alias("m"))
-    edges = settle(mentions.select(F.explode("m.patterns").alias("pattern"), F.col("m.value").alias("value"), F.col("m.kind").alias("kind")).distinct())
+    of = lambda df: df.where("size(mentions) > 0").select("doc_id", "key", F.explode("mentions").alias("m"))
+    edge = lambda df: df.select(F.explode("m.patterns").alias("pattern"), F.col("m.value").alias("value"), F.col("m.kind").alias("kind"))
+    seeds = settle(edge(of(base)).distinct())
+    # a pattern with fewer seeds can never be confident, so what else stands beside it does not matter
+    backed = {r["pattern"]: r["n"] for r in seeds.groupBy("pattern", "kind").count().where(F.col("count") >= config.least_seeds).groupBy("pattern").agg(F.sum("count").alias("n")).collect()}
+    # nor can one with too many plain words, even if all else that stands beside it, counted twice over, were of its kind
+    counted = rows.mapInArrow(_counter(list(backed)), "pattern string, plain string, other long") if backed else None
+    room = 1 / config.pattern_confidence - 1
+    for r in counted.groupBy("pattern").agg(F.countDistinct("plain").alias("plain"), F.sum("other").alias("other")).collect() if backed else ():
+        if r["plain"] > room * (backed[r["pattern"]] + 2 * r["other"]):
+            del backed[r["pattern"]]
+    patterns = list(backed)
+    filled = settle(rows.mapInArrow(_filler(patterns), _FILLED))
+    words = filled.select(F.explode("plain").alias("w")).select("w.pattern", "w.value", F.lit(None).cast("string").alias("kind"))
+    edges = settle(seeds.unionByName(edge(of(filled))).unionByName(words).distinct())
     _, added = score_graph(edges, config)
-    wanted = mentions.where("m.kind = ''").select("doc_id", "key", F.col("m.value").alias("value"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+    wanted = of(filled).select("doc_id", "key", F.col("m.value").alias("value"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))
     each = wanted.join(added, "value").select("doc_id", "key", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("o"), "start", "end", "kind").distinct()
     more = each.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("o", "start", "end", "kind"))).alias("more"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))

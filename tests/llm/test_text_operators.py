@@ -118,6 +118,31 @@ def test_patterns_learned_from_seeds_find_unseen_identifiers(spark):
     assert redacted[100] == "please call mobile number <PHONE> today"
 
 
+def test_what_stands_in_a_slot_is_found_whatever_its_shape(spark):
+    lines = [f"please call mobile number +1 212 555 {1000 + i} today" for i in range(40)] + [f"please write to mailbox u{i}@example.com today" for i in range(40)]
+    lines += [f"pay with credit card 4111 1111 1111 1111 {'now' if i else 'today'}" for i in range(2)] + [f"from host address 10.0.0.{i} again" for i in range(40)]
+    unseen = {
+        1100: ("please call mobile number {} today", "415 555 0132", "phone"),
+        1101: ("please call mobile number {}, thanks", "(415) 555-0132", "phone"),
+        1102: ("please write to mailbox {} today", "ann [at] example.com", "email"),
+        1103: ("please write to mailbox {}", "ann(at)example(dot)com", "email"),
+        1104: ("please write to mailbox {} today", "ann at example dot com", "email"),
+        1105: ("from host address {} again", "2001:db8::ff00:42:8329", "ip"),
+        1106: ("please write to mailbox {} today", "a" * 80 + "[at]example.com", "email"),
+        1107: ("please call mobile number {} today", "4111 1111 1111 1112", "phone"),
+    }
+    clean = [(1200, "please write to mailbox owners soon"), (1201, "order number 415 555 0199 shipped"), (1202, "we met ann [at] example.com yesterday")]
+    rows = [*enumerate(lines), *((i, frame.format(value)) for i, (frame, value, _) in unseen.items()), *clean]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    for i, (frame, value, kind) in unseen.items():
+        start = frame.index("{")
+        assert got[i] == f"{kind}:{start}:{start + len(value)}", (i, got[i])
+    assert [got[i] for i, _ in clean] == ["", "", ""]
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert redacted[1104] == "please write to mailbox <EMAIL> today"
+
+
 # secrets -----------------------------------------------------------------------------------------------------------
 
 SECRETS = (
