@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaybook.functions.columns import ratio
 from quaybook.operators.lifecycle import level_changes, level_deltas
-from quaybook.plans.scan import Running, chunk_of, running
+from quaybook.plans.scan import Running, chunk_of, layout_of, running
 from quaybook.schema import BUY, SELL, Backend, Layout
 
 _SPINE = ("symbol", "seq", "timestamp", "event_type", "size", "price", "direction")
@@ -26,7 +26,7 @@ def _met(messages: DataFrame, layout: Layout) -> DataFrame:
     pieces = lived.select("symbol", F.explode(chunks).alias("chunk"), F.col("seq").alias("start"), "end", "side", F.col("price").alias("level_price"), "total_size", "order_count")
     spine = messages.select(*_SPINE).withColumn("chunk", chunk_of("seq", layout.book_chunk))
     meets = (spine["symbol"] == pieces["symbol"]) & (spine["chunk"] == pieces["chunk"]) & (spine["seq"] >= pieces["start"]) & (spine["seq"] <= pieces["end"])
-    return spine.join(pieces.hint("shuffle_hash"), meets, "left").select(*[spine[c] for c in (*_SPINE, "chunk")], "side", "level_price", "total_size", "order_count")
+    return spine.join(pieces, meets, "left").select(*[spine[c] for c in (*_SPINE, "chunk")], "side", "level_price", "total_size", "order_count")
 
 
 def ladders(messages: DataFrame, depth: int = 10, layout: Layout = Layout()) -> DataFrame:
@@ -68,13 +68,8 @@ def book_states(messages: DataFrame, backend: Backend = Backend.CHUNKED, layout:
 
 
 def top_of_book(messages: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """``symbol, seq, best_bid, best_ask, spread, mid`` by the interval join; only extremes are aggregated."""
-    joined = _met(messages, layout)
-    best = joined.groupBy("symbol", "chunk", "seq").agg(
-        F.max(F.when(F.col("side") == BUY, F.col("level_price"))).alias("best_bid"), F.min(F.when(F.col("side") == SELL, F.col("level_price"))).alias("best_ask")
-    )
-    bid, ask = F.col("best_bid"), F.col("best_ask")
-    return best.select("symbol", "seq", "best_bid", "best_ask", F.try_subtract(ask, bid).alias("spread"), ((bid.cast("double") + ask.cast("double")) / 2).alias("mid"))
+    """``symbol, seq, best_bid, best_ask, spread, mid``."""
+    return book_states(messages, Backend.CHUNKED, layout).select("symbol", "seq", "best_bid", "best_ask", "spread", "mid")
 
 
 def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -83,8 +78,9 @@ def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(same).union(same.exceptAll(a))
 
 
-def active_orders(messages: DataFrame, layout: Layout = Layout()) -> DataFrame:
+def active_orders(messages: DataFrame, layout: Layout | None = None) -> DataFrame:
     """``symbol, seq, active_orders``: live orders after each message."""
+    layout = layout or layout_of(messages)
     changes = level_deltas(messages).groupBy("symbol", "seq").agg(F.sum("dcount").alias("dcount"))
     spine = messages.select("symbol", "seq").join(changes, ["symbol", "seq"], "left")
     counted = running(spine, ["symbol"], chunk_of("seq", layout.scan_chunk), ["seq"], [Running("active_orders", "sum", F.coalesce("dcount", F.lit(0).cast("long")))])
@@ -126,8 +122,9 @@ def final_snapshot(messages: DataFrame, depth: int = 10) -> DataFrame:
     return out.withColumns({"spread": F.try_subtract(ask, bid), "mid_price": (bid.cast("double") + ask.cast("double")) / 2})
 
 
-def book_peaks(messages: DataFrame, layout: Layout = Layout()) -> DataFrame:
+def book_peaks(messages: DataFrame, layout: Layout | None = None) -> DataFrame:
     """``symbol, peak_orders, peak_levels_per_side``: most live orders, and most levels of the fuller side, after any message."""
+    layout = layout or layout_of(messages)
     level = Window.partitionBy("symbol", "side", "price").orderBy("seq")
     counts = level_deltas(messages).withColumn("n", F.sum("dcount").over(level.rowsBetween(Window.unboundedPreceding, 0)))
     opened = (F.col("n") > 0).cast("long") - ((F.col("n") - F.col("dcount")) > 0).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaybook.functions.columns import ratio, sign
-from quaybook.plans.scan import Running, chunk_of, running
+from quaybook.plans.scan import Running, chunk_of, layout_of, running
 from quaybook.schema import REPORT, Layout
 
 
@@ -15,12 +15,12 @@ def prediction_snapshots(rows: DataFrame) -> DataFrame:
     return rows.select("symbol", F.col("seq").alias("message_index"), F.col("mid").alias("mid_price"), F.col("order_imbalance").alias("order_imbalance_top5"))
 
 
-def future_moves(snapshots: DataFrame, layout: Layout = Layout()) -> DataFrame:
+def future_moves(snapshots: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Add ``move`` and ``distance``: sign of the first later mid that differs from the row's own, and how many rows later it is.
 
     Among rows with a mid, that is the next one which differs from its predecessor, whatever the horizon; so one pass serves all.
     """
-    chunk = chunk_of("message_index", layout.scan_chunk)
+    chunk = chunk_of("message_index", (layout or layout_of(snapshots)).scan_chunk)
     rows = running(snapshots, ["symbol"], chunk, ["message_index"], [Running("previous", "last", F.col("mid_price"), inclusive=False)])
     turn = F.when(F.col("mid_price").isNotNull() & F.col("previous").isNotNull() & (F.col("mid_price") != F.col("previous")), F.struct(F.col("message_index").alias("at"), F.col("mid_price").alias("mid")))
     rows = running(rows, ["symbol"], chunk, ["message_index"], [Running("next", "last", turn, inclusive=False)], reverse=True)
@@ -37,7 +37,7 @@ def validate_horizons(horizons: list[int]) -> list[int]:
     return list(horizons)
 
 
-def summarize_horizons(snapshots: DataFrame, horizons: list[int], layout: Layout = Layout()) -> DataFrame:
+def summarize_horizons(snapshots: DataFrame, horizons: list[int], layout: Layout | None = None) -> DataFrame:
     """``symbol`` and the report columns, one row for each symbol and entry of ``horizons``; entries keep order and duplicates."""
     validate_horizons(horizons)
     moved = future_moves(snapshots, layout)

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset and the whole of Spark is one process, as in tests, a temporary folder takes its place, which goes with
+    the process.  A cluster without the setting is an error, since executors do not share the driver's folders.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaybook-checkpoint-"))
+        if not named:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="quaybook-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system when the driver ends."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaybook.plans.catalog import CONFIG, CUT_SEQ, HORIZONS, LOOKUP_PRICE
+from quaybook.plans.catalog import CONFIG, HORIZONS, LOOKUP_PRICE, SHAKEN_DAYS
 
 _WIDTH = int(CONFIG.realized_vol_window_seconds)
 #: More than any message number, so that time and number make one key.
@@ -64,27 +64,22 @@ _PARTS = {
         SELECT symbol, side, price, seq, lead(seq) OVER l AS next_seq, CAST(sum(dsize) OVER l AS BIGINT) AS total_size, CAST(sum(dcount) OVER l AS BIGINT) AS order_count
         FROM deltas WINDOW l AS (PARTITION BY symbol, side, price ORDER BY seq)""",
     ),
-    "ranked": (
+    "best": (
         ("messages", "levels"),
         """
-        SELECT m.symbol, m.seq, l.side, l.price, l.total_size, row_number() OVER (PARTITION BY m.symbol, m.seq, l.side ORDER BY l.price * -l.side) AS r
-        FROM messages m JOIN levels l ON m.symbol = l.symbol AND m.seq >= l.seq AND m.seq < coalesce(l.next_seq, 4000000000000) WHERE l.order_count > 0""",
+        SELECT m.symbol, m.seq, max({'p': l.price, 's': l.total_size}, 10) FILTER (l.side = 1) AS b, min({'p': l.price, 's': l.total_size}, 10) FILTER (l.side = -1) AS a
+        FROM messages m JOIN levels l ON m.symbol = l.symbol AND m.seq >= l.seq AND m.seq < coalesce(l.next_seq, 4000000000000) WHERE l.order_count > 0 GROUP BY m.symbol, m.seq""",
     ),
     "book": (
-        ("messages", "ranked"),
+        ("messages", "best"),
         """
-        SELECT m.symbol, m.seq, m."timestamp", best_bid, best_ask, best_ask - best_bid AS spread, (CAST(best_bid AS DOUBLE) + CAST(best_ask AS DOUBLE)) / 2 AS mid,
+        SELECT *, best_ask - best_bid AS spread, (CAST(best_bid AS DOUBLE) + CAST(best_ask AS DOUBLE)) / 2 AS mid,
+               CASE WHEN bid_depth_5 + ask_depth_5 > 0 THEN CAST(bid_depth_5 - ask_depth_5 AS DOUBLE) / CAST(bid_depth_5 + ask_depth_5 AS DOUBLE) END AS order_imbalance
+        FROM (SELECT m.symbol, m.seq, m."timestamp", m.event_type, m.size, m.price, m.direction, b[1].p AS best_bid, a[1].p AS best_ask,
                """
-        + ", ".join(f"coalesce({s}{k}, 0) AS {n}_depth_{k}" for s, n in (("b", "bid"), ("a", "ask")) for k in (1, 5, 10))
-        + """,
-               CASE WHEN coalesce(b5, 0) + coalesce(a5, 0) > 0
-                    THEN CAST(coalesce(b5, 0) - coalesce(a5, 0) AS DOUBLE) / CAST(coalesce(b5, 0) + coalesce(a5, 0) AS DOUBLE) END AS order_imbalance
-        FROM messages m LEFT JOIN (
-          SELECT symbol, seq, max(price) FILTER (side = 1) AS best_bid, min(price) FILTER (side = -1) AS best_ask,
-                 """
-        + ", ".join(f"CAST(sum(total_size) FILTER (side = {v} AND r <= {k}) AS BIGINT) AS {s}{k}" for s, v in (("b", 1), ("a", -1)) for k in (1, 5, 10))
+        + ", ".join(f"CAST(coalesce(list_sum(list_transform({s}[1:{k}], lambda x: x.s)), 0) AS BIGINT) AS {n}_depth_{k}" for s, n in (("b", "bid"), ("a", "ask")) for k in (1, 5, 10))
         + """
-          FROM ranked GROUP BY symbol, seq) USING (symbol, seq)""",
+              FROM messages m LEFT JOIN best USING (symbol, seq))""",
     ),
     "trades": (
         ("messages",),
@@ -106,6 +101,15 @@ _PARTS = {
               FROM book WINDOW b AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         WINDOW w AS (PARTITION BY symbol ORDER BY k RANGE BETWEEN CAST({_WIDTH} AS HUGEINT) * {_FAR} + {_FAR - 1} PRECEDING AND CURRENT ROW)""",
     ),
+    "samples": (
+        ("book",),
+        f"""
+        SELECT symbol, seq, t, row_number() OVER o AS pos, max(t) OVER o AS latest, sum(r2) OVER o AS total
+        FROM (SELECT symbol, seq, CAST("timestamp" AS BIGINT) + (seq * 37 % {2 * SHAKEN_DAYS + 1} - {SHAKEN_DAYS}) * 86400 AS t,
+                     CAST(coalesce(power(ln(mid / lag(mid) OVER (PARTITION BY symbol ORDER BY seq)), 2), 0) AS DECIMAL(38, 24)) AS r2
+              FROM book WHERE mid > 0)
+        WINDOW o AS (PARTITION BY symbol ORDER BY seq)""",
+    ),
     "moves": (
         ("book",),
         """
@@ -119,11 +123,26 @@ _PARTS = {
     "final": (("live",), "SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY price * -side) AS rank FROM live"),
 }
 
-_ANALYTICS = """
-    SELECT b.symbol, b.seq, round(b."timestamp", 6) AS "timestamp", best_bid, best_ask, spread, round(mid, 6) AS mid,
+#: All columns in one pass over the book: nothing is joined to it.
+_ANALYTICS = f"""
+    SELECT symbol, seq, round("timestamp", 6) AS "timestamp", best_bid, best_ask, spread, round(mid, 6) AS mid,
            bid_depth_1, bid_depth_5, bid_depth_10, ask_depth_1, ask_depth_5, ask_depth_10, round(order_imbalance, 6) AS order_imbalance,
-           round(rolling_vwap, 6) AS rolling_vwap, round(trade_flow_imbalance, 6) AS trade_flow_imbalance, round(rolling_realized_vol, 6) AS rolling_realized_vol
-    FROM book b JOIN trades USING (symbol, seq) JOIN volatility USING (symbol, seq)"""
+           round(CASE WHEN q > 0 THEN CAST(p AS DOUBLE) / CAST(q AS DOUBLE) END, 6) AS rolling_vwap, round(CASE WHEN q > 0 THEN CAST(s AS DOUBLE) / CAST(q AS DOUBLE) END, 6) AS trade_flow_imbalance,
+           round(CASE WHEN n >= 2 THEN sqrt(CAST(total - first_r2 AS DOUBLE)) END, 6) AS rolling_realized_vol
+    FROM (SELECT *, sum(CASE WHEN t THEN size ELSE 0 END) OVER w AS q, sum(CASE WHEN t THEN CAST(size AS HUGEINT) * price ELSE 0 END) OVER w AS p,
+                 sum(CASE WHEN t THEN size * direction ELSE 0 END) OVER w AS s, count(r2) OVER v AS n, sum(r2) OVER v AS total, first_value(r2 IGNORE NULLS) OVER v AS first_r2
+          FROM (SELECT *, event_type IN (4, 5, 6) AND size > 0 AND price > 0 AS t, CAST("timestamp" AS HUGEINT) * {_FAR} + seq AS k,
+                       CASE WHEN mid > 0 THEN CAST(coalesce(power(ln(mid / last_value(CASE WHEN mid > 0 THEN mid END IGNORE NULLS) OVER b), 2), 0) AS DECIMAL(38, 24)) END AS r2
+                FROM book WINDOW b AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+          WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN {CONFIG.trade_window - 1} PRECEDING AND CURRENT ROW),
+                 v AS (PARTITION BY symbol ORDER BY k RANGE BETWEEN CAST({_WIDTH} AS HUGEINT) * {_FAR} + {_FAR - 1} PRECEDING AND CURRENT ROW))"""
+
+#: Where every message from the first sample on brings one, as here, those are gone before whose latest time so far is too old.
+_FALLING = f"""
+    SELECT b.symbol, b.seq, round(CASE WHEN s.pos - coalesce(g.pos, 0) >= 2 THEN sqrt(CAST(s.total - f.total AS DOUBLE)) END, 6) AS rolling_realized_vol
+    FROM book b LEFT JOIN samples s USING (symbol, seq)
+    ASOF LEFT JOIN (SELECT symbol, latest, max(pos) AS pos FROM samples GROUP BY ALL) g ON s.symbol = g.symbol AND s.latest - {_WIDTH} > g.latest
+    LEFT JOIN samples f ON f.symbol = s.symbol AND f.pos = coalesce(g.pos, 0) + 1"""
 
 _TOP = """
     SELECT symbol, max(price) FILTER (side = 1 AND rank = 1) AS bid, max(total_size) FILTER (side = 1 AND rank = 1) AS bid_size,
@@ -209,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "level_lookup": _with(
             ("levels",),
-            f" SELECT symbol, side, price, total_size, order_count FROM levels WHERE side = 1 AND price = {LOOKUP_PRICE} AND seq <= {CUT_SEQ} AND coalesce(next_seq, {CUT_SEQ + 1}) > {CUT_SEQ} AND order_count > 0",
+            f" SELECT symbol, side, price, total_size, order_count FROM levels WHERE side = 1 AND price = {LOOKUP_PRICE} AND next_seq IS NULL AND order_count > 0",
         ),
         "book_peaks": _with(
             ("messages", "levels", "deltas"),
@@ -223,10 +242,11 @@ def oracle_sql() -> dict[str, str]:
         "rolling_vwap": _with(("trades",), " SELECT symbol, seq, round(rolling_vwap, 6) AS rolling_vwap FROM trades"),
         "trade_flow_imbalance": _with(("trades",), " SELECT symbol, seq, round(trade_flow_imbalance, 6) AS trade_flow_imbalance FROM trades"),
         "realized_vol": _with(("volatility",), " SELECT symbol, seq, round(rolling_realized_vol, 6) AS rolling_realized_vol FROM volatility"),
-        "analytics_rows": _with(("book", "trades", "volatility"), _ANALYTICS),
-        "relational_analytics": _with(("book", "trades", "volatility"), _ANALYTICS),
-        "streaming_analytics": _with(("book", "trades", "volatility"), _ANALYTICS),
-        "stateful_analytics": _with(("book", "trades", "volatility"), _ANALYTICS),
+        "volatility_of_falling_times": _with(("book", "samples"), _FALLING),
+        "analytics_rows": _with(("book",), _ANALYTICS),
+        "relational_analytics": _with(("book",), _ANALYTICS),
+        "streaming_analytics": _with(("book",), _ANALYTICS),
+        "stateful_analytics": _with(("book",), _ANALYTICS),
         "backend_parity_diff": _with(("messages",), " SELECT symbol, count(*) AS n_rows, CAST(0 AS BIGINT) AS differing FROM messages GROUP BY symbol"),
         "future_move_labels": _with(("moves",), " SELECT symbol, seq AS message_index, move, distance FROM moves"),
         "prediction_summary": _with(("moves",), _summary()),

@@ -7,12 +7,52 @@ totals before a chunk are aggregated there, and the two parts meet.  Work per ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaybook.plans.lineage import settle
+from quaybook.schema import Layout
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys, or evenly without any, to as many partitions as the session shuffles into.
+
+    The number is stated, so that adaptive execution does not put a few small partitions with much work into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def layout_of(messages: DataFrame) -> Layout:
+    """The layout for the longest symbol, by one count; who knows how many messages there are passes a layout instead."""
+    return Layout.for_rows(messages.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0)
+
+
+def whole_pieces(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal first ``keys`` columns, from rows sorted by these; nulls are equal."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
+        for i in range(keys):
+            code = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            change |= code[1:] != code[:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            held.append(batch.slice(low, high - low))
+            if high < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 @dataclass(frozen=True)
@@ -41,7 +81,7 @@ def running(df: DataFrame, keys: list[str], chunk: Column | None, order: list[st
     frame = lambda over, w: over.rowsBetween(Window.unboundedPreceding, 0 if w.inclusive else -1)
     if chunk is None:
         whole = Window.partitionBy(*keys).orderBy(*[turn(c) for c in order])
-        return df.withColumns({w.name: _aggregate(w.how, w.value).over(frame(whole, w)) for w in wanted})
+        return dealt(df, *keys).withColumns({w.name: _aggregate(w.how, w.value).over(frame(whole, w)) for w in wanted})
     # read twice below, so it is written once
     valued = settle(df.withColumns({"__chunk": chunk, **{f"__{w.name}": w.value for w in wanted}}))
     chunk = "__chunk"

@@ -27,11 +27,15 @@ BUY, SELL = 1, -1
 
 
 class Backend(Enum):
-    """How book states are computed: by an interval join, by replays of short pieces, or by one replay of each symbol."""
+    """How book states are computed: by an interval join, by replays of short pieces, or by one replay of each symbol.
 
-    RELATIONAL = "relational"
+    The values are the names that output files and reports carry.
+    """
+
+    # fixed values: scripts look for these names
+    RELATIONAL = "map"
     CHUNKED = "chunked"
-    STATEFUL = "stateful"
+    STATEFUL = "flat_vector"
 
     @classmethod
     def parse(cls, name: str) -> Backend | None:

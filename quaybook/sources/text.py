@@ -19,16 +19,20 @@ _FIELDS = (("timestamp", "double"), ("event_type", "int"), ("order_id", "bigint"
 
 def parsed_line(line: Column) -> Column:
     """Struct of the six fields, or null for a malformed line."""
+
+    def converted(text: Column) -> Column:
+        return F.struct(*[(real_number(text[i]) if kind == "double" else whole_number(text[i], kind)).alias(name) for i, (name, kind) in enumerate(_FIELDS)])
+
+    def checked(fields: Column) -> Column:
+        fine = fields["event_type"].between(1, 7) & fields["direction"].isin(1, -1)
+        for name, _ in _FIELDS:
+            fine = fine & fields[name].isNotNull()
+        return F.when(fine, fields)
+
+    # a variable of a lambda is computed once, however often it is read
+    bind = lambda value, body: F.transform(F.array(value), body)[0]
     parts = F.split(line, ",", -1)
-    fields = {}
-    for i, (name, kind) in enumerate(_FIELDS):
-        text = trim(F.get(parts, F.lit(i)))
-        fields[name] = real_number(text) if kind == "double" else whole_number(text, kind)
-    made = F.struct(*[v.alias(k) for k, v in fields.items()])
-    fine = (F.size(parts) == 6) & fields["event_type"].between(1, 7) & fields["direction"].isin(1, -1)
-    for v in fields.values():
-        fine = fine & v.isNotNull()
-    return F.when(fine, made)
+    return bind(parts, lambda p: F.when(F.size(p) == 6, bind(F.transform(p, trim), lambda text: bind(converted(text), checked))))
 
 
 def parse(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Timing of replays: how long the final books of a stream take, repeated."""
+"""Timing of replays: every message goes through a book, as often as asked, and the last book is shown."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from quaybook.operators.book import final_snapshot
-from quaybook.operators.stateful import replay
+from quaybook.operators.lifecycle import level_changes
+from quaybook.operators.stateful import apply_all
 from quaybook.schema import Backend
 
 
@@ -33,18 +35,20 @@ class ReplaySummary:
 def time_replay(messages: DataFrame, backend: Backend = Backend.RELATIONAL, depth: int = 10, repeats: int = 1) -> ReplaySummary:
     """Replay ``repeats`` times, at least once; reading the messages is not timed, building books and the last snapshot is.
 
-    The stream is cached for the time being, on disk where memory is short.
+    Repeats are copies of every symbol, so all of them are one job: the stateful backend takes each message of each copy through a
+    book, the others compute the state of the levels after each.  The stream is cached for the time being, on disk where memory is short.
     """
     repeats = max(1, repeats)
     held = messages.persist()
     try:
         n = held.count()
-        last = None
         began = time.perf_counter()
-        for _ in range(repeats):
-            if backend is Backend.STATEFUL:
-                replay(held).write.format("noop").mode("overwrite").save()
-            last = final_snapshot(held, depth).orderBy("symbol").first()
+        copies = held.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+        if backend is Backend.STATEFUL:
+            force(apply_all(copies, "copy"))
+        else:
+            force(level_changes(copies.withColumn("symbol", F.concat_ws("#", "symbol", "copy"))))
+        last = final_snapshot(held, depth).orderBy("symbol").first()
         seconds = time.perf_counter() - began
     finally:
         held.unpersist()
@@ -56,5 +60,3 @@ def force(df: DataFrame) -> float:
     began = time.perf_counter()
     df.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - began
-
-

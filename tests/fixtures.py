@@ -1,30 +1,29 @@
 """Message streams with the rows they must give; None is an absent value."""
 
 LIFECYCLE = [
-    (0.001, 1, 101, 100, 10000, 1), (0.002, 1, 102, 50, 10000, 1), (0.003, 1, 201, 70, 10200, -1), (0.004, 1, 202, 30, 10100, -1), (0.005, 2, 102, 20, 10000, 1),
-    (0.006, 4, 202, 10, 10100, -1), (0.007, 1, 103, 40, 10100, 1), (0.008, 3, 101, 100, 10000, 1), (0.009, 4, 202, 25, 10100, -1), (0.01, 1, 203, 25, 10300, -1),
-    (0.011, 4, 201, 70, 10200, -1), (0.012, 2, 102, 30, 10000, 1), (0.013, 1, 104, 15, 9900, 1), (0.014, 4, 103, 40, 10100, 1), (0.015, 5, 999, 50, 10400, -1),
-    (0.016, 6, 998, 60, 10450, 1), (0.017, 7, 997, 0, 0, -1),
+    (1.5, 1, 11, 40, 5000, 1), (1.5, 1, 12, 60, 5040, -1), (2.0, 1, 13, 25, 5010, 1), (2.25, 1, 14, 35, 5010, 1), (2.5, 4, 13, 10, 5010, 1), (2.75, 2, 14, 5, 5010, 1),
+    (3.0, 3, 12, 60, 5040, -1), (3.0, 1, 15, 80, 5030, -1), (3.5, 1, 16, 20, 5025, -1), (4.0, 4, 16, 20, 5025, -1), (4.5, 5, 77, 12, 5020, 1), (4.75, 1, 13, 9, 4990, 1),
+    (5.0, 6, 78, 30, 5015, -1), (5.5, 3, 14, 1, 1, 1), (6.0, 4, 15, 100, 5030, -1), (6.5, 1, 17, 7, 5060, -1), (7.0, 7, 0, 0, 0, 1),
 ]
 #: bid, ask, spread, mid, bid depth 5, ask depth 5, imbalance, vwap, flow, volatility, live orders
 LIFECYCLE_ROWS = [
-    (10000, None, None, None, 100, 0, 1.0, None, None, None, 1),
-    (10000, None, None, None, 150, 0, 1.0, None, None, None, 2),
-    (10000, 10200, 200, 10100.0, 150, 70, 0.363636, None, None, None, 3),
-    (10000, 10100, 100, 10050.0, 150, 100, 0.2, None, None, 0.004963, 4),
-    (10000, 10100, 100, 10050.0, 130, 100, 0.130435, None, None, 0.004963, 4),
-    (10000, 10100, 100, 10050.0, 130, 90, 0.181818, 10100.0, -1.0, 0.004963, 4),
-    (10100, 10100, 0, 10100.0, 170, 90, 0.307692, 10100.0, -1.0, 0.007018, 5),
-    (10100, 10100, 0, 10100.0, 70, 90, -0.125, 10100.0, -1.0, 0.007018, 4),
-    (10100, 10200, 100, 10150.0, 70, 70, 0.0, 10100.0, -1.0, 0.008582, 3),
-    (10100, 10200, 100, 10150.0, 70, 95, -0.151515, 10100.0, -1.0, 0.008582, 4),
-    (10100, 10300, 200, 10200.0, 70, 25, 0.473684, 10166.666667, -1.0, 0.009889, 3),
-    (10100, 10300, 200, 10200.0, 40, 25, 0.230769, 10166.666667, -1.0, 0.009889, 2),
-    (10100, 10300, 200, 10200.0, 55, 25, 0.375, 10166.666667, -1.0, 0.009889, 3),
-    (9900, 10300, 400, 10100.0, 15, 25, -0.25, 10148.275862, -0.448276, 0.013959, 2),
-    (9900, 10300, 400, 10100.0, 15, 25, -0.25, 10212.820513, -0.589744, 0.013959, 2),
-    (9900, 10300, 400, 10100.0, 15, 25, -0.25, 10268.627451, -0.215686, 0.013959, 2),
-    (9900, 10300, 400, 10100.0, 15, 25, -0.25, 10268.627451, -0.215686, 0.013959, 2),
+    (5000, None, None, None, 40, 0, 1.0, None, None, None, 1),
+    (5000, 5040, 40, 5020.0, 40, 60, -0.2, None, None, None, 2),
+    (5010, 5040, 30, 5025.0, 65, 60, 0.04, None, None, 0.000996, 3),
+    (5010, 5040, 30, 5025.0, 100, 60, 0.25, None, None, 0.000996, 4),
+    (5010, 5040, 30, 5025.0, 90, 60, 0.2, 5010.0, 1.0, 0.000996, 4),
+    (5010, 5040, 30, 5025.0, 85, 60, 0.172414, 5010.0, 1.0, 0.000996, 4),
+    (5010, None, None, None, 85, 0, 1.0, 5010.0, 1.0, 0.000996, 3),
+    (5010, 5030, 20, 5020.0, 85, 80, 0.030303, 5010.0, 1.0, 0.001408, 4),
+    (5010, 5025, 15, 5017.5, 85, 100, -0.081081, 5010.0, 1.0, 0.001493, 5),
+    (5010, 5030, 20, 5020.0, 85, 80, 0.030303, 5020.0, -0.333333, 0.001574, 4),
+    (5010, 5030, 20, 5020.0, 85, 80, 0.030303, 5020.0, 0.047619, 0.001574, 4),
+    (5010, 5030, 20, 5020.0, 79, 80, -0.006289, 5020.0, 0.047619, 0.001574, 4),
+    (5010, 5030, 20, 5020.0, 79, 80, -0.006289, 5017.916667, -0.388889, 0.001574, 4),
+    (5000, 5030, 30, 5015.0, 49, 80, -0.24031, 5017.916667, -0.388889, 0.001863, 3),
+    (5000, None, None, None, 49, 0, 1.0, 5024.94186, -0.744186, 0.001863, 2),
+    (5000, 5060, 60, 5030.0, 49, 7, 0.75, 5024.94186, -0.744186, 0.00352, 3),
+    (5000, 5060, 60, 5030.0, 49, 7, 0.75, 5024.94186, -0.744186, 0.00352, 3),
 ]
 
 #: Ties in time, a replaced id, sizes that do nothing, an unknown id, too large a cancel, and the edge of the time window.
@@ -44,16 +43,3 @@ EDGES_ROWS = [
     (109, 110, 1, 109.5, 9, 10, -0.052632, 105.0, -1.0, 0.004577, 3),
     (109, 110, 1, 109.5, 9, 10, -0.052632, 105.0, -1.0, 0.0, 3),
 ]
-
-#: Mids and imbalances, horizon, counts in report order, hit rate, coefficient, coverage.
-PREDICTIONS = {
-    "up": ([(100, 0.8), (100, -0.4), (101, 0.2)], 2, (3, 3, 2, 0, 1, 0, 2, 0, 1, 1), 0.5, 0.0, 2 / 3),
-    "down": ([(100, -0.7), (100, 0.6), (99, -0.2)], 2, (3, 3, 2, 0, 1, 0, 0, 2, 1, 1), 0.5, 0.0, 2 / 3),
-    "no mid": ([(None, 0.6), (100, 0.5), (101, 0.4)], 2, (3, 2, 1, 1, 1, 0, 1, 0, 1, 0), 1.0, 0.0, 1 / 3),
-    "no move": ([(100, 0.5), (100, 0.3), (100, -0.2)], 2, (3, 3, 0, 0, 3, 0, 0, 0, 0, 0), 0.0, 0.0, 0.0),
-    "zero signal": ([(100, 0.0), (101, 0.5), (102, -0.5)], 1, (3, 3, 2, 0, 1, 1, 2, 0, 1, 0), 1.0, 0.0, 2 / 3),
-    "first move wins": ([(100, 0.5), (101, -0.4), (99, 0.7)], 2, (3, 3, 2, 0, 1, 0, 1, 1, 2, 0), 1.0, 1.0, 2 / 3),
-    "short": ([(100, 0.5), (100, 0.2), (100, -0.3), (101, 0.4)], 1, (4, 4, 1, 0, 3, 0, 1, 0, 0, 1), 0.0, 0.0, 0.25),
-    "long": ([(100, 0.5), (100, 0.2), (100, -0.3), (101, 0.4)], 3, (4, 4, 3, 0, 1, 0, 3, 0, 2, 1), 2 / 3, 0.0, 0.75),
-    "mixed": ([(100, 0.5), (101, 0.0), (101, -0.5), (100, 0.5), (None, 0.2)], 2, (5, 4, 3, 1, 1, 1, 1, 2, 2, 0), 1.0, 0.866025, 0.6),
-}

@@ -45,13 +45,19 @@ def test_live_orders_and_sequential_replay(spark, messages, rows):
 def test_final_snapshot_peaks_and_lookup(spark):
     m = frame(spark, LIFECYCLE)
     s = book.final_snapshot(m).first()
-    assert (s["best_bid"]["price"], s["best_bid"]["total_size"], s["best_ask"]["price"], s["best_ask"]["total_size"]) == (9900, 15, 10300, 25)
-    assert (s["spread"], s["mid_price"], s["active_order_count"]) == (400, 10100.0, 2)
-    assert tuple(book.book_peaks(m, CUT).first())[1:] == (5, 2)
-    assert book.build_hints(m) == (5, 2)
+    assert (s["best_bid"]["price"], s["best_bid"]["total_size"], s["best_ask"]["price"], s["best_ask"]["total_size"]) == (5000, 40, 5060, 7)
+    assert (s["spread"], s["mid_price"], s["active_order_count"]) == (60, 5030.0, 3)
+    assert tuple(book.book_peaks(m, CUT).first())[1:] == (5, 3)
+    assert book.build_hints(m) == (5, 3)
     assert book.build_hints(m, 7, 9) == (7, 9)
-    assert book.level_at(m, 1, 10000, 4).first()["total_size"] == 130
-    assert book.level_at(m, 1, 10000).isEmpty()
+    assert book.level_at(m, 1, 5010, 4).first()["total_size"] == 50
+    assert book.level_at(m, 1, 5010).isEmpty()
+    model = Book()
+    for x in LIFECYCLE:
+        model.apply(Message(*x))
+    shown = model.snapshot(1)
+    assert (shown.best_bid, shown.best_ask) == ((5000, 40, 1, 1), (5060, 7, 1, -1))
+    assert (shown.spread, shown.mid_price, shown.active_order_count, len(shown.bids)) == (60, 5030.0, 3, 1)
 
 
 def test_ladders_list_levels_in_price_priority(spark):
@@ -77,12 +83,78 @@ def test_prices_at_the_ends_of_a_long(spark):
         assert last["bid_depth_1"] == 5
 
 
-def test_falling_time_is_found_and_replayed(spark):
-    m = [(5.0, 1, 1, 5, 100, 1), (5.0, 1, 2, 5, 110, -1), (1.0, 1, 3, 5, 101, 1), (400.0, 1, 4, 5, 102, 1)]
+ODD_TIMES = st.lists(
+    st.tuples(
+        st.sampled_from([0.0, 3.0, 4.0, 5.0, 11.0, 20.0, 21.0, -7.0, float("nan"), float("inf"), float("-inf")]),
+        st.sampled_from([1, 1, 1, 3, 4, 5]),
+        st.integers(1, 6),
+        st.sampled_from([0, 5, 10]),
+        st.sampled_from([98, 99, 101, 102]),
+        st.sampled_from([1, -1]),
+    ),
+    min_size=1,
+    max_size=60,
+)
+
+
+def oldest_first(samples, now, seconds):
+    """What is left of samples once the oldest ones that are too old have gone, one after the other."""
+    samples = list(samples)
+    while samples and samples[0][0] < now - seconds:
+        samples.pop(0)
+    return samples
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(ODD_TIMES)
+def test_backends_agree_whatever_the_times(spark, messages):
+    config = AnalyticsConfig(trade_window_messages=3, realized_vol_window_seconds=4.0)
+    model, samples, want = Book(), [], []
+    for x in map(Message._make, messages):
+        model.apply(x)
+        mid = model.snapshot(1).mid_price
+        samples = oldest_first([*samples, (x.timestamp, mid)] if mid else samples, x.timestamp, 4.0)
+        want.append(math.sqrt(sum(math.log(b / a) ** 2 for (_, a), (_, b) in zip(samples, samples[1:], strict=False))) if len(samples) > 1 else None)
+    # a symbol of rising times beside it takes the other way
+    m = frame(spark, messages).union(frame(spark, LIFECYCLE, "rising"))
+    known = an.analytics(frame(spark, LIFECYCLE, "rising"), config, Backend.STATEFUL).orderBy("seq").collect()
+    for b, layout in ((Backend.CHUNKED, None), (Backend.CHUNKED, CUT), (Backend.RELATIONAL, Layout()), (Backend.STATEFUL, None)):
+        rows = an.analytics(m, config, b, layout).orderBy("seq").collect()
+        got = [r["rolling_realized_vol"] for r in rows if r["symbol"] == "x"]
+        assert len(got) == len(want)
+        assert all(near(x, y, 1e-9) for x, y in zip(got, want, strict=True)), (b, layout)
+        for r, k in zip([r for r in rows if r["symbol"] == "rising"], known, strict=True):
+            assert all(near(x, y, 1e-9) if isinstance(x, float) else x == y for x, y in zip(r, k, strict=True)), (b, layout)
+
+
+def test_values_where_time_falls(spark):
+    m = [(t, 1, i, 5, p, s) for i, (t, p, s) in enumerate([(10.0, 100, 1), (10.0, 110, -1), (11.0, 101, 1), (20.0, 102, 1), (12.0, 103, 1), (21.0, 104, 1)])]
     rows = frame(spark, m)
     assert an.time_falls(rows)
     assert not an.time_falls(frame(spark, LIFECYCLE))
-    assert [r["seq"] for r in an.analytics(rows, backend=None).orderBy("seq").collect()] == [0, 1, 2, 3]
+    step = lambda *mids: math.sqrt(sum(math.log(b / a) ** 2 for a, b in zip(mids, mids[1:], strict=False)))
+    want = [None, None, step(105, 105.5), None, step(106, 106.5), step(106, 106.5, 107)]
+    for b in Backend:
+        got = an.analytics(rows, AnalyticsConfig(realized_vol_window_seconds=4.0), b).orderBy("seq").collect()
+        assert all(near(r["rolling_realized_vol"], w, 1e-9) for r, w in zip(got, want, strict=True)), b
+
+
+def test_deep_books_give_the_depths_of_a_replay(spark):
+    random.seed(11)
+    live, messages = [], []
+    for i in range(1500):
+        if live and random.random() < 0.45:
+            k = live.pop(random.randrange(len(live)))
+            messages.append((float(i), 3, k, 0, 0, 1))
+        else:
+            live.append(i)
+            side = random.choice([1, -1])
+            messages.append((float(i), 1, i, random.randint(1, 9), 10_000 - side * random.randint(0, 900), side))
+    m = frame(spark, messages)
+    columns = ["seq", "best_bid", "best_ask", *[f"{s}_depth_{k}" for s in ("bid", "ask") for k in (1, 5, 10)]]
+    want = replay(m).orderBy("seq").select(*columns).collect()
+    for layout in (Layout(), Layout(replay_chunk=400)):
+        assert book.book_states(m, Backend.CHUNKED, layout).orderBy("seq").select(*columns).collect() == want
 
 
 def slow_rows(messages, config):
@@ -119,7 +191,7 @@ MESSAGES = st.lists(
 )
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(MESSAGES)
 def test_backends_agree_on_random_streams(spark, steps):
     at, messages = 0.0, []
@@ -148,5 +220,6 @@ def test_symbols_do_not_mix(spark):
     both = an.analytics(a.union(b), layout=CUT)
     columns = [c for c, _ in ANALYTICS]
     alone = an.analytics(a).orderBy("seq").select(*columns).collect()
-    assert both.where("symbol = 'a'").orderBy("seq").select(*columns).collect() == alone
+    got = both.where("symbol = 'a'").orderBy("seq").select(*columns).collect()
+    assert all(near(x, y, 1e-12) for r, k in zip(got, alone, strict=True) for x, y in zip(r, k, strict=True))
     assert replay(a.union(b)).count() == len(LIFECYCLE) + len(EDGES)

@@ -30,6 +30,18 @@ def test_lines_are_validated_strictly(spark):
     assert tuple(first) == (34200.123456, 1, 123456789, 250, 1254300, 1)
 
 
+HEXADECIMAL = [
+    "0x1p0", "-0x1.8p3", "0X.8", "0x10", "0x1.fffffffffffff8p0", "0x1.fffffffffffff7ffffp0", "0x1.00000000000008p1", "0x1.000000000000080000001p1", "0x0.0000000000000000000001p+99",
+    "0x1p1023", "0x1p-1074", "+0xABCDEF0123456789abcdefp-8", "0x0", "-0x0p9", "0x8.p1", "0x0000000000000000000000001.5",
+]
+
+
+def test_hexadecimal_times(spark):
+    rows = spark.createDataFrame([(i, f"{x},1,1,1,1,1") for i, x in enumerate([*HEXADECIMAL, "0x", "0x1p", "0xg", "0x1p1024", "0x1p-1080", "0x.p1", "0x1p99999999999"])], "i int, value string")
+    found = {r["i"]: r["message"]["timestamp"] for r in text.parse(rows).where("message is not null").collect()}
+    assert found == {i: float.fromhex(x) for i, x in enumerate(HEXADECIMAL)}
+
+
 def test_files_keep_their_order_and_are_counted(spark, tmp_path):
     lines = [f"{100 - i}.5,{i % 7 + 1},{i},1,1,1" for i in range(500)] + BAD
     path = write(tmp_path / "m.csv", lines)
@@ -118,11 +130,19 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "Parsed: 4\nMalformed: 1\nTime range: 1.000000 - 4.000000\nEvent type counts: 1:2 2:0 3:0 4:1 5:0 6:0 7:1" in said
     assert "Final top: bid=100 x 6 (1) ask=110 x 20 (1) active_orders=2" in said
-    one, two = (tmp_path / f"a_{b}.csv" for b in ("relational", "stateful"))
+    one, two = (tmp_path / f"a_{b}.csv" for b in ("map", "flat_vector"))
+    assert "Replay backend=map repeats=1 processed=4" in said
+    assert "Replay backend=flat_vector" in said
     assert one.read_text() == two.read_text()
     assert len(one.read_text().splitlines()) == 5
-    assert cli.main(["time", "--dataset", path, "--backend", "map"]) == 0
-    assert "average_ns_per_message=" in capsys.readouterr().out
+    assert cli.main(["time", "--dataset", path, "--backend", "both", "--repeat", "5"]) == 0
+    said = capsys.readouterr().out
+    assert "Reserve hints reserve=off expected_orders=0 expected_levels_per_side=0" in said
+    assert "Reserve hints reserve=on expected_orders=2 expected_levels_per_side=1" in said
+    for backend in ("map", "flat_vector"):
+        for mode in ("off", "on"):
+            assert f"Replay backend={backend} reserve={mode} repeats=5 processed=20 " in said
+    assert "avg_ns_per_msg=" in said
     assert cli.main([str(tmp_path / "none")]) == 1
     assert cli.main([path, "--backend", "tree"]) == 1
     assert cli.main([path, "--depth", "x"]) == 1
