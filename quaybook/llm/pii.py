@@ -17,6 +17,7 @@ out of :func:`find` and unchanged in :func:`redact`.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaybook.llm.shared import in_small_batches, settle, span_list
 
@@ -203,6 +205,11 @@ def contexts(text: str, start: int, end: int, reach: int = 48) -> list[str]:
     return found
 
 
+def _value(text: str, a: int, b: int) -> str:
+    """The text of a span; one that is too long to be kept is told from others by its digest."""
+    return text[a:b] if b - a <= _LONGEST else f"{text[a : a + _LONGEST]}{hashlib.sha256(text[a:b].encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
 _FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, spans string, mentions array<struct<kind:string,value:string,start:int,end:int,patterns:array<string>>>"
 _MENTIONS = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string()))]))
 
@@ -219,7 +226,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for column, kind in zip(counts, KINDS, strict=True):
                     column.append(sum(k == kind for k, _, _ in known) if known else 0)
                 spans.append(span_list(known))
-                mentions.append([{"kind": k, "value": text[a:b][:_LONGEST], "start": a, "end": b, "patterns": contexts(text, a, b)} for k, a, b in known])
+                mentions.append([{"kind": k, "value": _value(text, a, b), "start": a, "end": b, "patterns": contexts(text, a, b)} for k, a, b in known])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(spans, pa.string()), pa.array(mentions, _MENTIONS)],
                 names=["doc_id", "key", *(f"n_{k}" for k in KINDS), "spans", "mentions"],
@@ -227,7 +234,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each pattern plain words that stand beside it here, all or 4096 of them, and how often anything else does."""
+    """For each pattern how many different plain words stand beside it in a task, 4096 at most, and how often anything else does."""
     slots = Slots(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +263,10 @@ def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                                 held.add(core)
                         else:
                             other[pattern] += n
-        rows = [(p, w, 0) for p, held in plain.items() for w in held] + [(p, None, n) for p, n in other.items()]
+        # numbers only: the words of the few patterns that stay in are sent later, with their slots
+        rows = [(p, len(plain.get(p, ())), other[p]) for p in plain.keys() | other.keys()]
         columns = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["pattern", "plain", "other"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["pattern", "plain", "other"])
 
     return run
 
@@ -294,13 +302,16 @@ def _filler(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 @dataclass(frozen=True)
 class BootstrapConfig:
-    rounds: int = 3
+    #: Turns at most; scoring ends with the first turn that changes no instance.
+    rounds: int = 6
     #: Different seed values that a pattern needs, and the least confidence of patterns and of added instances.
     least_seeds: int = 3
     #: Confident patterns that an instance needs to be believed.
     least_patterns: int = 2
     pattern_confidence: float = 0.8
     instance_confidence: float = 0.95
+    #: Patterns that may be sent to every task; with more of them the operator stops with an error and drops none.
+    most_patterns: int = 4_000_000
 
 
 def score_graph(edges: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> tuple[DataFrame, DataFrame]:
@@ -312,7 +323,7 @@ def score_graph(edges: DataFrame, config: BootstrapConfig = BootstrapConfig()) -
     totals = edges.groupBy("pattern").agg(F.countDistinct("value").alias("total"))
     unknown = edges.where("kind = ''").select("pattern", "value")
     believed = seeds.withColumn("seed", F.lit(1))
-    patterns = backed = None
+    patterns = backed = last = None
     links = edges.where("kind is not null").select("pattern", "value").distinct()
     for _ in range(config.rounds):
         mass = links.join(believed, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum("seed").alias("seeds"))
@@ -321,7 +332,12 @@ def score_graph(edges: DataFrame, config: BootstrapConfig = BootstrapConfig()) -
         doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
         found = settle(unknown.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"), F.count("*").alias("n")))
         # what one pattern alone suggests would feed that pattern's own confidence
-        backed = found.where(F.col("n") >= config.least_patterns).drop("n")
+        before, backed = backed, found.where(F.col("n") >= config.least_patterns).drop("n")
+        state = lambda df: df.agg(F.count("*"), F.sum(F.round("score", 6)), F.sum(F.xxhash64("value", "kind") % 1_000_003)).first()
+        now = state(backed)
+        if before is not None and now == last or not now[0]:
+            break
+        last = now
         believed = seeds.withColumn("seed", F.lit(1)).unionByName(backed.withColumn("seed", F.lit(0)))
     best = backed.where(F.col("score") >= config.instance_confidence).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
     return patterns, best.select("value", "b.kind", "b.score")
@@ -336,10 +352,13 @@ def find(docs: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFr
     seeds = settle(edge(of(base)).distinct())
     # a pattern with fewer seeds can never be confident, so what else stands beside it does not matter
     backed = {r["pattern"]: r["n"] for r in seeds.groupBy("pattern", "kind").count().where(F.col("count") >= config.least_seeds).groupBy("pattern").agg(F.sum("count").alias("n")).collect()}
-    # nor can one with too many plain words, even if all else that stands beside it, counted twice over, were of its kind
-    counted = rows.mapInArrow(_counter(list(backed)), "pattern string, plain string, other long") if backed else None
+    if len(backed) > config.most_patterns:
+        raise ValueError(f"{len(backed)} patterns have {config.least_seeds} seeds or more; raise least_seeds, as {config.most_patterns} are sent to every task at most")
+    # nor can one with too many plain words, even if all else that stands beside it, counted twice over, were of its kind;
+    # there are at least as many plain words as the task with most of them has
+    counted = rows.mapInArrow(_counter(list(backed)), "pattern string, plain long, other long") if backed else None
     room = 1 / config.pattern_confidence - 1
-    for r in counted.groupBy("pattern").agg(F.countDistinct("plain").alias("plain"), F.sum("other").alias("other")).collect() if backed else ():
+    for r in counted.groupBy("pattern").agg(F.max("plain").alias("plain"), F.sum("other").alias("other")).collect() if backed else ():
         if r["plain"] > room * (backed[r["pattern"]] + 2 * r["other"]):
             del backed[r["pattern"]]
     patterns = list(backed)
@@ -370,30 +389,49 @@ def find(docs: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFr
     )
 
 
-def redact(docs: DataFrame, config: BootstrapConfig = BootstrapConfig(), broadcast_rows: int = 200_000) -> DataFrame:
+def redact(docs: DataFrame, config: BootstrapConfig = BootstrapConfig(), broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; ``n_chars``, if there, follows the text.
 
     Where spans of two kinds overlap, the one that starts first is replaced, the longer one of equal starts.
     """
     found = find(docs, config).where("spans <> ''").select(F.col("doc_id").alias("__qb_id"), F.col("key").alias("__qb_key"), F.col("spans").alias("__qb_spans"))
     found = settle(found.distinct())
-    if found.count() <= broadcast_rows:
+    if (found.agg(F.sum(F.length("__qb_spans") + 32)).first()[0] or 0) <= broadcast_bytes:
         found = F.broadcast(found)
     keyed = docs.withColumn("__qb_own", F.xxhash64("text"))
     joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__qb_id")) & (F.col("__qb_own") == F.col("__qb_key")), "left")
-    spans = F.array_sort(
-        F.transform(
-            F.split("__qb_spans", ","),
-            lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), (-F.split(s, ":")[2].cast("int")).alias("b"), F.split(s, ":")[0].alias("kind")),
-        )
-    )
-    step = lambda acc, s: F.when(s["a"] < acc["at"], acc).otherwise(
-        F.struct((-s["b"]).alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["a"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))
-    )
-    clean = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    )
-    out = joined.withColumn("text", F.when(F.col("__qb_spans").isNull(), F.col("text")).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__qb_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return joined.select(*docs.columns, "__qb_spans").mapInArrow(_redactor(docs.schema), docs.schema)
+
+
+def redacted(text: str, spans: Iterable[tuple[str, int, int]]) -> str:
+    """The text with spans replaced, in one go over it."""
+    out, at = [], 0
+    for a, b, kind in sorted((a, -b, kind) for kind, a, b in spans):
+        if a >= at:
+            out += [text[at:a], f"<{kind.upper()}>"]
+            at = -b
+    return "".join([*out, text[at:]])
+
+
+def _redactor(schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            hit = [i for i, x in enumerate(batch.column(len(names)).to_pylist()) if x]
+            if hit:
+                texts = columns[names.index("text")].to_pylist()
+                sizes = columns[names.index("n_chars")].to_pylist() if "n_chars" in names else None
+                for i in hit:
+                    spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in batch.column(len(names))[i].as_py().split(","))]
+                    texts[i] = redacted(texts[i], spans)
+                    if sizes:
+                        sizes[i] = len(texts[i])
+                columns[names.index("text")] = pa.array(texts, columns[names.index("text")].type)
+                if sizes:
+                    kind = columns[names.index("n_chars")].type
+                    columns[names.index("n_chars")] = pa.array([str(x) if x is not None and pa.types.is_string(kind) else x for x in sizes], kind)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
