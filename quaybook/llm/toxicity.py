@@ -1,13 +1,14 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Training counts, over a bounded sample of labelled rows, in how many toxic and clean texts each token occurs; log-odds under an
-informative Dirichlet prior, with their variances, give the tokens that speak for toxicity.  A text becomes a sequence of scores:
-those tokens score their log-odds, all others cost a little.  One linear scan finds every maximal-scoring segment.
+informative Dirichlet prior, with their variances, give the tokens that speak for or against toxicity.  A text becomes a sequence of
+scores: those tokens score their log-odds, of either sign, and all others, whose odds the sample leaves open, cost a little.  One linear
+scan finds every maximal-scoring segment.
 Segment scores are put on a common scale by extreme-value statistics, lambda from the clean token distribution and K from
 clean training texts, and a logistic curve over that scale gives the score of a text.
 
 Defined cases: a null or empty text has no tokens and gets the curve's value for no segment; a null id takes no part in training;
-without labels of both classes every score is 0; repeated rows are scored one by one; other columns are left alone.
+without labels of both classes, or without a token that speaks for toxicity, every score is 0; repeated rows are scored one by one; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -57,12 +58,11 @@ class _Lookup(dict):
 class ToxicConfig:
     #: About so many labelled rows enter training and calibration.
     most_labelled: int = 40_000
-    #: Weight of the prior as a share of the counted tokens; least z-score, log-odds and number of texts of a token that counts; how many count.
+    #: Weight of the prior as a share of the counted tokens; least z-score, log-odds and number of texts, of either sign, of a token that scores.
     prior_share: float = 0.02
     least_z: float = 4.0
     least_odds: float = 1.0
     least_texts: int = 5
-    most_tokens: int = 20_000
     #: What any other token costs a segment, and the expected number of chance segments up to which one is significant.
     gap_cost: float = 0.1
     significant: float = 0.05
@@ -91,10 +91,12 @@ class ToxicModel:
         if not hits:
             return 0.0, 0.0, 0.0, [], len(words)
         found = segments(hits, self.gap_cost)
+        n = len(words)
+        if not found:
+            return 0.0, 0.0, 0.0, [], n
         best = max(s for _, _, s in found)
         mass = sum(s for _, _, s in found)
-        n = len(words)
-        return max(self.bits(best, n), -5.0) + 6.0, math.log1p(mass), len(hits) / n, found, n
+        return max(self.bits(best, n), -5.0) + 6.0, math.log1p(mass), sum(s > 0 for _, s in hits) / n, found, n
 
     def score(self, best: float, mass: float, share: float) -> float:
         if not self.curve:
@@ -104,27 +106,45 @@ class ToxicModel:
 
 
 def segments(hits: list[tuple[int, float]], gap_cost: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments ``(first token, end token, score)`` of a sequence given by its positive scores.
+    """All maximal-scoring segments ``(first token, end token, score)`` of a sequence given by its scores of either sign, in linear time.
 
-    Tokens between the hits cost ``gap_cost`` each.  Candidates lie on a stack with the running totals before and after them;
-    a new one joins those from the nearest candidate that began lower, if that one ended lower too.
+    Tokens that are not listed cost ``gap_cost`` each.  Candidates lie on a list with the running totals before and after them; a new one
+    joins those from the nearest candidate that began lower, if that one ended lower too.  Each keeps the place of the nearest one that
+    began lower, so no candidate is passed over twice; without one, all before are final and leave the list.
     """
-    stack: list[tuple[float, float, int, int]] = []
+    done: list[tuple[int, int, float]] = []
+    low_of: list[float] = []
+    high_of: list[float] = []
+    first_of: list[int] = []
+    end_of: list[int] = []
+    lower: list[int] = []
     total, at = 0.0, 0
     for i, score in hits:
         low = total - gap_cost * (i - at)
         total, at = low + score, i + 1
-        first, low_here = i, low
-        while stack:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] >= low_here:
-                k -= 1
-            if k < 0 or stack[k][1] >= total:
+        if score <= 0:
+            continue
+        first = i
+        while True:
+            k = len(low_of) - 1
+            while k >= 0 and low_of[k] >= low:
+                k = lower[k]
+            if k < 0:
+                done += [(a, b, high - start) for start, high, a, b in zip(low_of, high_of, first_of, end_of, strict=True)]
+                for x in (low_of, high_of, first_of, end_of, lower):
+                    x.clear()
+                break
+            if high_of[k] >= total:
                 break
-            low_here, first = stack[k][0], stack[k][2]
-            del stack[k:]
-        stack.append((low_here, total, first, i + 1))
-    return [(a, b, high - low) for low, high, a, b in stack]
+            low, first = low_of[k], first_of[k]
+            for x in (low_of, high_of, first_of, end_of, lower):
+                del x[k:]
+        low_of.append(low)
+        high_of.append(total)
+        first_of.append(first)
+        end_of.append(i + 1)
+        lower.append(k)
+    return done + [(a, b, high - start) for start, high, a, b in zip(low_of, high_of, first_of, end_of, strict=True)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, config: ToxicCo
         "token", "seen", (odds("toxic", t) - odds("clean", c)).alias("d"), (1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("v")
     )
     z = F.col("d") / F.sqrt("v")
-    chosen = scored.where((z >= config.least_z) & (F.col("d") >= config.least_odds)).orderBy(z.desc(), "token").limit(config.most_tokens).collect()
+    # at most as many as the tokens that least_texts texts of the bounded sample share
+    chosen = scored.where((F.abs(z) >= config.least_z) & (F.abs("d") >= config.least_odds)).orderBy("token").collect()
     model.scores = {r["token"]: r["d"] for r in chosen}
-    if not model.scores:
+    if not any(d > 0 for d in model.scores.values()):
         return model
     chance = [((r["seen"] + 0.5) / (seen + 0.5 * len(chosen)), r["d"]) for r in chosen]
     model.rate = _rate(chance, config.gap_cost)
@@ -281,7 +302,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, config: ToxicConfig = ToxicConfig()) -> DataFrame:
-    """The documents, with all their columns, that are not predicted toxic."""
+    """The documents, with all their columns, that are not predicted toxic; repeated rows and those without an id are judged one by one."""
     model = train(docs, labels, fold(F.col("doc_id"), 5) != 0, config)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

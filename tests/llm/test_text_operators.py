@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -380,7 +381,7 @@ def slow_segments(values):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([0, 0, 0, 0, 0, 1.03, 2.07, 0.13, 0.37]), max_size=40))
+@given(st.lists(st.sampled_from([0, 0, 0, 0, 0, 1.03, 2.07, 0.13, 0.37, -0.59, -1.71]), max_size=40))
 def test_segments_match_the_definition(raw):
     gap = 0.31
     values = [x or -gap for x in raw]
@@ -390,6 +391,30 @@ def test_segments_match_the_definition(raw):
     assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want, strict=True))
 
 
+def test_segments_take_linear_time():
+    def seconds(n, gap):
+        hits = [(i * gap, 0.25 if i % 3 else 0.35) for i in range(n)]
+        began = time.perf_counter()
+        toxicity.segments(hits, 0.1)
+        return time.perf_counter() - began
+
+    for gap in (1, 3, 30):
+        assert seconds(300_000, gap) < 20 * max(seconds(30_000, gap), 0.02)
+    # a million tokens
+    assert seconds(333_000, 3) < 20
+
+
+def test_toxic_scores_separate_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, toxicity.fold(F.col("doc_id"), 5) != 0)
+    held = toxicity.score(docs, model).join(labels, "doc_id").where((toxicity.fold(F.col("doc_id"), 5) == 0) & F.col("toxic").isNotNull()).select("score", "predicted", "toxic").toPandas()
+    toxic = held["toxic"] == 1
+    pairs = [(a > b) + 0.5 * (a == b) for a in held["score"][toxic] for b in held["score"][~toxic]]
+    assert sum(pairs) / len(pairs) >= 0.9
+    assert (held["predicted"][toxic] == 1).mean() >= 0.75
+    assert (held["predicted"][~toxic] == 0).mean() >= 0.97
+
+
 # neighbours --------------------------------------------------------------------------------------------------------
 
 
