@@ -30,11 +30,11 @@ def _kind(place: int, kind: str, pattern: str, group: int, condition: str, may_h
     """Spans of one kind; ``may_hold`` is a quick test that every text with a span passes."""
     p = _quoted(pattern)
     return f"""
-  SELECT doc_id, source, {place} AS place, '{kind}' AS kind, starts AS start, starts + len(m) AS stop, value FROM (
-    SELECT doc_id, source, unnest(list_transform(range(1, len(ms) + 1), lambda i:
+  SELECT doc_id, owner, {place} AS place, '{kind}' AS kind, starts AS start, starts + len(m) AS stop, value FROM (
+    SELECT doc_id, owner, unnest(list_transform(range(1, len(ms) + 1), lambda i:
              list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))) AS starts, unnest(ms) AS m, unnest(vs) AS value
-    FROM (SELECT doc_id, source, string_split_regex(body, {p}) AS gaps, regexp_extract_all(body, {p}, 0) AS ms, regexp_extract_all(body, {p}, {group}) AS vs
-          FROM (SELECT doc_id, source, text AS body FROM documents WHERE regexp_matches(text, {_quoted(may_hold)}))) WHERE len(ms) > 0)
+    FROM (SELECT doc_id, owner, string_split_regex(body, {p}) AS gaps, regexp_extract_all(body, {p}, 0) AS ms, regexp_extract_all(body, {p}, {group}) AS vs
+          FROM (SELECT doc_id, coalesce(source, '{secrets.NO_OWNER}' || doc_id) AS owner, text AS body FROM documents WHERE regexp_matches(text, {_quoted(may_hold)}))) WHERE len(ms) > 0)
   WHERE {condition}"""
 
 
@@ -44,7 +44,7 @@ def _secrets() -> str:
     text = "string_agg(kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start, place, stop)"
     return f"""
 WITH found AS MATERIALIZED ({" UNION ALL ".join(kinds)}),
-verdicts AS (SELECT value, CASE WHEN count(DISTINCT source) >= 3 THEN 'example' WHEN count(DISTINCT source) = 1 AND any_value(len(list_distinct(string_split(value, '')))) >= 10 THEN 'live'
+verdicts AS (SELECT value, CASE WHEN count(DISTINCT owner) >= 3 OR count(DISTINCT doc_id) >= 10 THEN 'example' WHEN count(DISTINCT owner) = 1 AND any_value(len(list_distinct(string_split(value, '')))) >= 10 THEN 'live'
                            ELSE 'unsure' END AS verdict FROM found GROUP BY value),
 judged AS MATERIALIZED (SELECT * FROM found JOIN verdicts USING (value)),
 chosen AS MATERIALIZED (

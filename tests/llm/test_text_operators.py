@@ -178,6 +178,20 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert (got[10]["n_assign"], got[10]["n_live"], got[10]["n_added"]) == (1, 1, 0)
 
 
+def test_repositories_and_owners_both_decide(spark):
+    value = "Zx9Kq2Lm8Pw4Rt6Yb1Nc"
+    verdict = lambda rows: {r["doc_id"]: r["spans"] != "" for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    # one owner: few places are live, many are an example
+    assert all(verdict([(i, f"a {value} b", "one") for i in range(9)]).values())
+    assert not any(verdict([(i, f"a {value} b", "one") for i in range(10)]).values())
+    # rows without an owner do not share one
+    assert not any(verdict([(i, f"a {value} b", None) for i in range(3)]).values())
+    # all owners of rows alike in id and text count
+    rows = [(1, f"a {value} b", "x"), (1, f"a {value} b", "y"), (2, f"a {value} b", "z")]
+    found = secrets.ownership(secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"))).first()
+    assert (found["n_owners"], found["n_repositories"], found["verdict"]) == (3, 2, "example")
+
+
 # similarity join ---------------------------------------------------------------------------------------------------
 
 
