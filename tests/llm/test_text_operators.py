@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -438,7 +439,7 @@ def test_neighbours_against_brute_force(spark):
     x, ids = np.stack(rows["embedding"].to_numpy()).astype(float), rows["vec_id"].to_numpy()
     norms = np.sqrt((x * x).sum(1))
     got = defaultdict(dict)
-    small = neighbours.SearchConfig(shard_rows=150, block_queries=4)
+    small = neighbours.SearchConfig(shard_rows=150)
     for r in neighbours.search(v, config=small).collect():
         got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
     hits = total = 0
@@ -455,6 +456,26 @@ def test_neighbours_against_brute_force(spark):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_few_of_many_vectors_are_verified(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((50_000, 64))
+    if kind == "clustered":
+        x = rng.standard_normal((1000, 64))[rng.integers(0, 1000, len(x))] + 0.4 * x
+    ids = np.arange(len(x))
+    table = pa.table({"vec_id": ids, "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))})
+    got = neighbours.search(spark.createDataFrame(table), 1000, neighbours.SearchConfig(shard_rows=8000)).toPandas()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q, rows in got.groupby("query_id"):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5].tolist()) & set(rows["vec_id"]))
+    assert hits >= 0.9 * 5 * 50
+    # the stopping test decides: most vectors are never verified
+    assert got["n_verified"].mean() <= (0.25 if kind == "random" else 0.05) * len(x)
+
+
 def test_equal_vectors_rank_by_id(spark):
     rows = [(i, [1.0, 0.5]) for i in range(300)]
     got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), config=neighbours.SearchConfig(shard_rows=70)).where("query_id = 100").orderBy("rank").collect()
