@@ -19,16 +19,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaybook.llm.shared import in_small_batches, settle, span_list
+from quaybook.llm.shared import hashed_words, in_small_batches, mix64, settle, span_list
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -44,6 +44,14 @@ _PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _BRACKETED = re.compile(r"\[[^\W\d_]+\]|\([^\W\d_]+\)|\{[^\W\d_]+\}|<[^\W\d_]+>")
 _LABEL = re.compile(r"[^\W\d_]+[:=]+(?=[^\s:=])")
 _COLONS = re.compile(r"[0-9A-Fa-f.]*(?::[0-9A-Fa-f.]*){2,}(?:%\w+)?[,;.]*")
+#: Bytes by class; what is beyond ASCII counts as a letter, and texts where that is wrong go another way.
+_ASCII = [chr(i) for i in range(128)]
+_NOT_LETTER = np.array([not c.isalpha() for c in _ASCII] + [False] * 128)
+_NOT_WORD = np.array([not c.isalnum() for c in _ASCII] + [False] * 128)
+_IS_DIGIT = np.array([c.isdigit() for c in _ASCII] + [False] * 128)
+_IS_BLANK = np.array([c.isspace() for c in _ASCII] + [False] * 128)
+_IS_MARK = np.array([c in ".,;!?:" for c in _ASCII] + [False] * 128)
+_ODD = re.compile(r"(?=[^\x00-\x7f])[\W\d_]")
 #: Longest instance in characters, and most plain words between two patterns.
 _LONGEST, _MOST_WORDS = 320, 6
 
@@ -233,40 +241,92 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+class PatternHashes:
+    """Where the words of lexical patterns stand in lower-cased texts, found for all words of a batch at once."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.patterns = patterns
+        before = [p[:-2].split(" ") for p in patterns if p.endswith(" _")]
+        at = [k for k, p in enumerate(patterns) if p.endswith(" _")]
+        one = [(k, w[0]) for k, w in zip(at, before, strict=True) if len(w) == 1]
+        two = [(k, w) for k, w in zip(at, before, strict=True) if len(w) == 2]
+        after = [(k, p[2:]) for k, p in enumerate(patterns) if p.startswith("_ ")]
+        self.one = self._sorted([k for k, _ in one], self._hashes([w for _, w in one]))
+        self.two = self._sorted([k for k, _ in two], self.pairs(self._hashes([w[0] for _, w in two]), self._hashes([w[1] for _, w in two])))
+        self.after = self._sorted([k for k, _ in after], self._hashes([w for _, w in after]))
+
+    @staticmethod
+    def _hashes(words: list[str]) -> np.ndarray:
+        return hashed_words(" ".join(words).encode(), _NOT_LETTER)[0] if words else np.empty(0, np.uint64)
+
+    @staticmethod
+    def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64(first * np.uint64(3) + second)
+
+    @staticmethod
+    def _sorted(place: list[int], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(hashes)
+        return hashes[order], np.array(place, np.int64)[order]
+
+    @staticmethod
+    def _found(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions among ``hashes`` and the pattern at each."""
+        known, place = table
+        if not len(known) or not len(hashes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        i = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        at = np.flatnonzero(known[i] == hashes)
+        return at, place[i[at]]
+
+    def __call__(self, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Words that end or begin a pattern, the pattern, and on which side of the word its slot is."""
+        one, two, after = self._found(self.one, hashes), self._found(self.two, self.pairs(hashes[:-1], hashes[1:])), self._found(self.after, hashes)
+        return [(*one, 1), (two[0] + 1, two[1], 1), (*after, -1)]
+
+
 def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each pattern how many different plain words stand beside it in a task, 4096 at most, and how often anything else does."""
-    slots = Slots(patterns)
+    """For each pattern how many different plain words stand beside it in a task, about 4096 at most, and how often anything else does."""
+    known = PatternHashes(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain: dict[str, set[str]] = {}
-        other: Counter[str] = Counter()
+        other, full = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), bool)
+        seen = np.empty((0, 2), np.uint64)
+
+        def distinct(rows: list[np.ndarray]) -> np.ndarray:
+            # fewer than there are only keep a pattern in
+            out = np.unique(np.concatenate([seen, *rows]), axis=0)
+            full[np.bincount(out[:, 0].astype(np.int64), minlength=len(patterns)) >= 4096] = True
+            return out
+
+        held: list[np.ndarray] = []
         for batch in batches:
-            seen: Counter[tuple[str, str, str]] = Counter()
-            for cell in batch.column(2):
-                if text := cell.as_py():
-                    words = ["", *text.lower().split()]
-                    seen.update(zip(words, words[1:], [*words[2:], ""], strict=False))
-            for (first, second, third), n in seen.items():
-                word = second if second.isalpha() else second.strip(".,:;!?=\"'()[]<>-")
-                own = []
-                if word in slots.before:
-                    own += [(f"{word} _", third), (f"{first.strip('.,:;!?=')} {word} _", third)]
-                if third in slots.after:
-                    own.append((f"_ {third}", second))
-                for pattern, filler in own:
-                    if pattern in slots.patterns and filler:
-                        # punctuation around a plain word leaves it one
-                        core = filler if filler.isalpha() else filler.strip("\"'`,;*.!?:=")
-                        if core.isalpha() or _PLAIN.fullmatch(core):
-                            # fewer than there are only keep a pattern in
-                            if len(held := plain.setdefault(pattern, set())) < 4096:
-                                held.add(core)
-                        else:
-                            other[pattern] += n
+            # a digit between texts is no plain word
+            raw = "\n0\n".join(t.lower() for t in batch.column(2).to_pylist() if t).encode("utf-8", "surrogatepass") + b"\n0\n"
+            hashes, edges = hashed_words(raw, _NOT_WORD)
+            first, last = edges[::2], edges[1::2]
+            if not len(hashes):
+                continue
+            octets = np.frombuffer(raw, np.uint8)
+            digits = np.concatenate([[0], np.cumsum(_IS_DIGIT[octets])])
+            # a plain word has blanks before it, and behind it, at most after one mark
+            plain = (digits[last] == digits[first]) & _IS_BLANK[octets[np.maximum(first - 1, 0)]] & (_IS_BLANK[octets[last]] | (_IS_MARK[octets[last]] & _IS_BLANK[octets[np.minimum(last + 1, len(raw) - 1)]]))
+            for at, pattern, side in known(hashes):
+                slot = at + side
+                inside = (slot >= 0) & (slot < len(hashes))
+                slot = np.clip(slot, 0, len(hashes) - 1)
+                word = plain[slot] & inside
+                other += np.bincount(pattern[~word], minlength=len(patterns))
+                keep = word & ~full[pattern]
+                if keep.any():
+                    held.append(np.unique(np.stack([pattern[keep].astype(np.uint64), hashes[slot[keep]]], 1), axis=0))
+            if sum(map(len, held)) > 500_000:
+                seen, held = distinct(held), []
+        seen = distinct(held)
+        counts = np.bincount(seen[:, 0].astype(np.int64), minlength=len(patterns))
+        some = np.flatnonzero(counts + other)
         # numbers only: the words of the few patterns that stay in are sent later, with their slots
-        rows = [(p, len(plain.get(p, ())), other[p]) for p in plain.keys() | other.keys()]
-        columns = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["pattern", "plain", "other"])
+        yield pa.RecordBatch.from_arrays([pa.array([patterns[k] for k in some], pa.string()), pa.array(counts[some]), pa.array(other[some])], names=["pattern", "plain", "other"])
 
     return run
 
@@ -275,19 +335,40 @@ _FILLED = "doc_id long, key long, mentions array<struct<kind:string,value:string
 _WORDS = pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string())]))
 
 
+#: What is looked at on both sides of a pattern's word: the longest instance, and more than its contexts reach.
+_AROUND = _LONGEST + 192
+
+
+def windows(places: Iterable[int], length: int) -> list[tuple[int, int]]:
+    """Stretches of a text around ascending places."""
+    out: list[tuple[int, int]] = []
+    for x in places:
+        low, high = max(0, x - _AROUND), min(length, x + _AROUND)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
 def _filler(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    slots = Slots(patterns)
+    slots, known = Slots(patterns), PatternHashes(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, mentions, words = [], [], [], set()
-            for doc_id, key, cell in zip(*batch.columns, strict=True):
-                text = cell.as_py() or ""
-                found, plain = slots.fill(text, base_spans(text))
-                words |= plain
+            for doc_id, key, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _hit_places(batch.column(2).to_pylist(), known), strict=True):
+                if not places:
+                    continue
+                spans = base_spans(text)
+                found = []
+                for low, high in windows(places, len(text)):
+                    inner, plain = slots.fill(text[low:high], [(k, a - low, b - low) for k, a, b in spans if a < high and b > low])
+                    words |= plain
+                    found += [(a + low, b + low, p) for a, b, p in inner]
                 if found:
-                    ids.append(doc_id.as_py())
-                    keys.append(key.as_py())
+                    ids.append(doc_id)
+                    keys.append(key)
                     mentions.append([{"kind": "", "value": text[a:b], "start": a, "end": b, "patterns": p} for a, b, p in found])
             # the plain words of a batch are in a row of their own
             rows = [[], *([] for _ in ids)]
@@ -300,6 +381,33 @@ def _filler(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def _hit_places(texts: list[str | None], known: PatternHashes) -> list[list[int]]:
+    """For each text the places, in code points, of words that a pattern has beside its slot."""
+    out: list[list[int]] = []
+    for text in texts:
+        if not text:
+            out.append([])
+            continue
+        lower = text.lower()
+        if len(lower) != len(text) or (not lower.isascii() and _ODD.search(lower)):
+            # letters are told from the rest by the expression, and places by what it finds
+            found = list(_NEXT_WORD.finditer(lower))
+            hashes = hashed_words(" ".join(m.group() for m in found).encode("utf-8", "surrogatepass"), _IS_BLANK)[0]
+            at = np.array([m.start() for m in found], np.int64)
+            hit = sorted({int(x) for places, _, _ in known(hashes) for x in places}) if len(hashes) else []
+            # where lower-casing lengthens a text, all of it is looked at
+            out.append(list(range(0, len(text), _AROUND)) if hit and len(lower) != len(text) else at[hit].tolist())
+            continue
+        raw = lower.encode("utf-8", "surrogatepass")
+        hashes, edges = hashed_words(raw, _NOT_LETTER)
+        hit = np.unique(np.concatenate([places for places, _, _ in known(hashes)])) if len(hashes) else np.empty(0, np.int64)
+        at = edges[::2][hit]
+        if len(at) and not lower.isascii():
+            at = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[at] - 1
+        out.append(at.tolist())
+    return out
+
+
 @dataclass(frozen=True)
 class BootstrapConfig:
     #: Turns at most; scoring ends with the first turn that changes no instance.

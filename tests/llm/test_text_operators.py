@@ -145,6 +145,53 @@ def test_what_stands_in_a_slot_is_found_whatever_its_shape(spark):
     assert redacted[1104] == "please write to mailbox <EMAIL> today"
 
 
+def planted(seed, documents=1500):
+    """Prose with identifiers in the places where such things stand, two fifths of them in shapes that no fixed pattern takes, and numbers and words
+    of other kinds in places of their own: rows, and the spans that only their places give away."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(3000)]
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    shapes = {
+        "phone": (["mobile number {} anytime", "reach me at {} anytime", "phone line {} please"], lambda: f"+1 212 555 {digits(4)}", lambda: rng.choice([f"212.555.{digits(4)}", f"(212) 555-{digits(4)}", f"00{digits(2)} {digits(3)} {digits(6)}"])),
+        "email": (["write to mailbox {} soon", "my address is {} soon", "mailto {} thanks"], lambda: f"u{digits(4)}@example.com", lambda: f"u{digits(4)} [at] example.com"),
+        "ip": (["from host {} refused", "server address {} refused", "ping of {} refused"], lambda: f"10.{rng.randrange(256)}.0.{rng.randrange(256)}", lambda: f"2001:db8::{digits(4)}"),
+    }
+    decoys = ["order {} shipped", "about {} people came", "see page {} below", "in the year {} we"]
+    rows, want = [], set()
+    for i in range(documents):
+        text = ""
+        for _ in range(rng.randint(1, 3)):
+            text += " ".join(rng.choices(vocabulary, k=rng.randint(5, 20))) + ". "
+            kind = rng.choice([*shapes, "decoy", "decoy"])
+            if kind == "decoy":
+                text += rng.choice(decoys).format(digits(rng.randint(2, 9))) + " "
+                continue
+            frames, known, odd = shapes[kind]
+            frame, unseen = rng.choice(frames), rng.random() < 0.4
+            value = odd() if unseen else known()
+            start = len(text) + frame.index("{")
+            text += frame.format(value) + " "
+            if unseen:
+                want.add((i, kind, start, start + len(value)))
+        rows.append((i, text))
+    return rows, want
+
+
+def test_planted_identifiers_are_discovered(spark):
+    rows, want = planted(3)
+    base = {i: set(base_by_regex(t)) for i, t in rows}
+    got = {
+        (r["doc_id"], k, int(a), int(b))
+        for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)
+        if (k, int(a), int(b)) not in base[r["doc_id"]]
+    }
+    right = len(got & want)
+    print(f"discovered: precision {right / max(len(got), 1):.3f}, recall {right / len(want):.3f} of {len(want)}")
+    assert right >= 0.95 * len(got)
+    assert right >= 0.9 * len(want)
+
+
 # secrets -----------------------------------------------------------------------------------------------------------
 
 SECRETS = (
@@ -648,3 +695,19 @@ def test_licences_of_documents_match_brute_force(docs):
         assert bool(got) == bool(want)
         for m in r["matches"]:
             assert 0 <= m["start"] < m["end"] <= len(whole[r["doc_id"]])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["call", "Mobile", "number", "é", "İx", "“now”", "12-34", "(555)", "a@b.c", "ann [at] x.y", "foo.", "bar,", "\n", "of" * 90, "7" * 400]), max_size=80))
+def test_windows_around_pattern_words_lose_nothing(parts):
+    text = " ".join(parts)
+    patterns = ["call _", "mobile number _", "_ foo", "_ now", "é _"]
+    slots, known = pii.Slots(patterns), pii.base_spans(text)
+    whole, plain = slots.fill(text, known)
+    found, words = [], set()
+    for low, high in pii.windows(pii._hit_places([text], pii.PatternHashes(patterns))[0], len(text)):
+        inner, w = slots.fill(text[low:high], [(k, a - low, b - low) for k, a, b in known if a < high and b > low])
+        found += [(a + low, b + low, p) for a, b, p in inner]
+        words |= w
+    assert sorted(found) == sorted(whole)
+    assert words == plain
