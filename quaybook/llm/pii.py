@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
 Fixed patterns give seed entities.  The words beside a mention are its lexical patterns; mentions and patterns make a bipartite
-graph, which Spark scores in turns: a pattern of a kind is as good as the share of its instances believed to be of that kind,
-an instance as good as its patterns together.  Patterns of high confidence, backed by several different seeds, discover
+graph, which Spark scores in turns: a pattern of a kind is as good as the share of its instances believed to be of that kind, those of
+unknown kind counting less, an instance as good as its patterns together.  Patterns of high confidence, backed by several different seeds, discover
 identifiers that the fixed patterns miss; their spans are added.
 
 Whatever stands beside the words of such a pattern is an instance: a run of pieces that are not plain words, inner spaces, brackets
@@ -417,6 +417,8 @@ class BootstrapConfig:
     #: Confident patterns that an instance needs to be believed.
     least_patterns: int = 2
     pattern_confidence: float = 0.8
+    #: What an instance of unknown kind counts against a pattern; a plain word, or one of another kind, counts 1.
+    unknown_weight: float = 0.25
     instance_confidence: float = 0.95
     #: Patterns that may be sent to every task; with more of them the operator stops with an error and drops none.
     most_patterns: int = 4_000_000
@@ -428,14 +430,16 @@ def score_graph(edges: DataFrame, config: BootstrapConfig = BootstrapConfig()) -
     An edge of a seed has its kind, one of an unknown value the empty string, one of a value that cannot be discovered none.
     """
     seeds = edges.where("kind <> ''").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    totals = edges.groupBy("pattern").agg(F.countDistinct("value").alias("total"))
+    totals = edges.groupBy("pattern").agg(F.countDistinct("value").alias("total"), F.countDistinct(F.when(F.col("kind") == "", F.col("value"))).alias("unknown"))
     unknown = edges.where("kind = ''").select("pattern", "value")
     believed = seeds.withColumn("seed", F.lit(1))
     patterns = backed = last = None
     links = edges.where("kind is not null").select("pattern", "value").distinct()
     for _ in range(config.rounds):
-        mass = links.join(believed, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum("seed").alias("seeds"))
-        confident = mass.where(F.col("seeds") >= config.least_seeds).join(totals, "pattern").withColumn("confidence", F.col("mass") / F.col("total"))
+        mass = links.join(believed, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum("seed").alias("seeds"), F.sum(1 - F.col("seed")).alias("found"))
+        # an instance that nothing is known of yet says little against its pattern
+        against = F.col("total") - (1 - config.unknown_weight) * (F.col("unknown") - F.col("found"))
+        confident = mass.where(F.col("seeds") >= config.least_seeds).join(totals, "pattern").withColumn("confidence", F.col("mass") / against)
         patterns = settle(confident.where(F.col("confidence") >= config.pattern_confidence).select("pattern", "kind", "confidence"))
         doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
         found = settle(unknown.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"), F.count("*").alias("n")))
