@@ -7,6 +7,10 @@ documents are partitioned into small groups of similar ones, a matrix stores eac
 each union bounds its overlap with every member, and only groups whose bound qualifies are opened for exact comparison.  Pairs
 that are connected already need no comparison, so what is emitted is a forest of exact links.
 
+What does not fit one block is dealt at random, twice, so that near copies of one document become connected while every row goes to two
+tasks.  Only strangers, those not connected to the most of their group by then, visit the other blocks.  So the rows dealt grow with
+the members of a family, and with the square of its strangers at worst.
+
 Every bound is exact: a token that is frequent in a sample of texts moves to the end of the prefix order, which changes the work
 but not the result.  Sets are compared by 64-bit hashes of
 shingles and told apart by 128 bits, candidates by 64.
@@ -51,6 +55,8 @@ class JoinConfig:
     block: int = 1024
     #: Documents in a group of the token-group matrix.
     group: int = 16
+    #: Classes that have a token in the sample from which it is dealt apart, so that no task holds all of its classes.
+    hot: int = 64
     #: Rows up to which a side of the text lookup is broadcast; its rows have a fixed width.
     broadcast_rows: int = 400_000
 
@@ -281,8 +287,8 @@ def _meet(config: JoinConfig) -> Callable:
     """From rows ``t, a, b, side, c1, n, sketch`` sorted by the first three: a forest of pairs that the sketch bound allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, a, b in _each_run(batches):
-            side = rows.column("side").to_numpy() if a != b else None
+        for rows, at_home in _each_run(batches):
+            side = None if at_home else rows.column("side").to_numpy()
             pairs = _crowd_forest(rows.column("n").to_numpy(), rows.column("sketch").to_pylist(), side, config.percent)
             if pairs:
                 c1 = rows.column("c1").to_numpy()
@@ -343,24 +349,26 @@ def links_within(sets: list[np.ndarray], config: JoinConfig, sides: np.ndarray |
     return found
 
 
-def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
+def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """The rows of each block, and whether they are all at home there, or else visitors with whom to compare."""
     for table, bounds in whole_runs(batches, 3):
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield table.slice(s, e - s), table.column("a")[s].as_py(), table.column("b")[s].as_py()
+            yield table.slice(s, e - s), table.column("b")[s].as_py() < 0
 
 
 def _verify(config: JoinConfig) -> Callable:
     """From rows ``family, a, b, side, c1, text`` sorted by the first three: a forest of exact links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, a, b in _each_run(batches):
+        for rows, at_home in _each_run(batches):
             c1 = rows.column("c1").to_pylist()
-            first = {c: i for i, c in reversed(list(enumerate(c1)))}
+            # a stranger visits its own block too
+            first = {c: i for i, c in reversed(list(enumerate(zip(c1, rows.column("side").to_pylist(), strict=True))))}
             keep = sorted(first.values())
             if len(keep) < 2:
                 continue
             sets = [shingle_set(rows.column("text")[i].as_py(), config.width) for i in keep]
-            sides = rows.column("side").to_numpy()[keep] if a != b else None
+            sides = None if at_home else rows.column("side").to_numpy()[keep]
             pairs = links_within(sets, config, sides)
             if pairs:
                 ends = ([c1[keep[i]] for i, _ in pairs], [c1[keep[j]] for _, j in pairs])
@@ -369,11 +377,30 @@ def _verify(config: JoinConfig) -> Callable:
     return run
 
 
-def _in_blocks(df: DataFrame, count: str, size: int, by: str) -> DataFrame:
-    """Deal the rows of a group into blocks of about ``size`` and copy each to the pairs of blocks that it takes part in."""
+def _at_home(df: DataFrame, count: str, size: int, *by: str, rounds: int = 1) -> DataFrame:
+    """Deal the rows of each group into blocks of about ``size``, in each of ``rounds`` anew where one block does not hold them."""
     blocks = F.ceil(F.col(count) / size).cast("long")
-    own = df.withColumn("side", F.pmod(F.xxhash64(by), blocks)).withColumn("__qb_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return own.withColumns({"a": F.least("side", "__qb_other"), "b": F.greatest("side", "__qb_other")}).drop("__qb_other")
+    turns = F.explode(F.sequence(F.lit(0), F.when(blocks > 1, rounds - 1).otherwise(0)))
+    dealt = df.withColumn("__qb_turn", turns).withColumn("a", F.pmod(F.xxhash64(*by, "__qb_turn"), blocks))
+    return dealt.withColumns({"b": (-1 - F.col("__qb_turn")).cast("long"), "side": F.lit(0).cast("long")}).drop("__qb_turn")
+
+
+def strangers(df: DataFrame, group: str, count: str, size: int, labels: DataFrame) -> DataFrame:
+    """Of groups that one block does not hold, the rows not connected to the most of their group, as visitors of every block.
+
+    ``labels`` tells by ``node`` and ``label`` which classes ``c1`` are connected.  Two rows that are not, are both strangers or one of
+    them is, and a stranger meets every row of its group in that row's block.  Visitors come in blocks too, so no task holds more
+    than two blocks.
+    """
+    rows = df.where(F.col(count) > size).join(labels.select(F.col("node").alias("c1"), "label"), "c1", "left").withColumn("label", F.coalesce("label", "c1"))
+    sums = rows.groupBy(group, "label").count()
+    most = sums.groupBy(group).agg(F.max_by("label", F.struct("count", "label")).alias("__qb_most"), (F.sum("count") - F.max("count")).alias("__qb_others"))
+    known = rows.join(most.where("__qb_others > 0"), group)
+    blocks, visits = F.ceil(F.col(count) / size).cast("long"), F.ceil(F.col("__qb_others") / size).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    home = known.withColumns({"side": F.lit(0).cast("long"), "a": F.pmod(F.xxhash64("c1"), blocks)}).withColumn("b", every(visits))
+    away = known.where("label <> __qb_most").withColumns({"side": F.lit(1).cast("long"), "b": F.pmod(F.xxhash64("c1", F.lit(1)), visits)}).withColumn("a", every(blocks))
+    return home.unionByName(away.select(*home.columns)).drop("label", "__qb_most", "__qb_others")
 
 
 def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -387,34 +414,48 @@ def find_links(docs: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFram
     sampled = texts.where(F.pmod("key", F.lit(config.sample)) == 0).select("text")
     counted = sampled.mapInArrow(_sampled_tokens(config), "t long").groupBy("t").count().where(F.col("count") >= config.frequent)
     # at most `most_frequent` numbers, whatever the input
-    top = counted.orderBy(F.desc("count"), "t").limit(config.most_frequent).select("t").toPandas()["t"].to_numpy()
-    frequent = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
+    top = counted.orderBy(F.desc("count"), "t").limit(config.most_frequent).toPandas()
+    frequent = spark.sparkContext.broadcast(np.sort(top["t"].to_numpy().astype(np.int64).view(np.uint64)))
+    hot = F.broadcast(spark.createDataFrame([(int(t),) for t in top["t"][top["count"] >= config.hot]], "t long"))
     sets = settle(texts.mapInArrow(_sets(config, frequent), _SETS))
 
     # one row for each token of a prefix and class that has it; tokens of one class alone say nothing
     tokens = sets.where("prefix is not null").select(F.explode("prefix").alias("t"), "c1")
-    met = tokens.repartition("t").dropDuplicates(["t", "c1"]).withColumn("n", F.count("*").over(Window.partitionBy("t"))).where("n > 1")
+    met = tokens.join(hot, "t", "left_anti").repartition("t").dropDuplicates(["t", "c1"]).withColumn("n", F.count("*").over(Window.partitionBy("t"))).where("n > 1")
     dealt = settle(met.select("t", "c1").sortWithinPartitions("t").mapInArrow(_deal(config), "t long, u long, v long, crowd long"))
+    # the classes of a token that is likely to have very many are counted where they are
+    apart = settle(tokens.join(hot, "t", "left_semi").distinct())
+    many = apart.join(F.broadcast(apart.groupBy("t").agg(F.count("*").alias("crowd")).where("crowd > 1")), "t").select("t", "c1", "crowd")
     sketches = sets.where("sketch is not null").groupBy("c1").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     pairs = dealt.where("v is not null").select("u", "v").distinct()
     pairs = pairs.join(sketches.withColumnRenamed("c1", "u"), "u").join(sketches.toDF("v", "m", "other"), "v")
     alike = pairs.select("u", "v", "n", "sketch", "m", "other").mapInArrow(_alike(config), _EDGES)
-    crowds = dealt.where("crowd is not null").select("t", F.col("u").alias("c1"), "crowd").join(sketches, "c1")
-    crowds = _in_blocks(crowds, "crowd", config.crowd, "c1")
-    crowds = _grouped(crowds.select("t", "a", "b", "side", "c1", "n", "sketch"), ["t", "a", "b"])
-    families = components(alike.union(crowds.mapInArrow(_meet(config), _EDGES)))
+    crowded = dealt.where("crowd is not null").select("t", F.col("u").alias("c1"), "crowd").unionByName(many)
+    meet = lambda df: _grouped(df.join(sketches, "c1").select("t", "a", "b", "side", "c1", "n", "sketch"), ["t", "a", "b"]).mapInArrow(_meet(config), _EDGES)
+    # the token is part of the deal, so blocks of different tokens mix
+    near = settle(alike.union(meet(_at_home(crowded, "crowd", config.crowd, "c1", "t"))))
+    families = components(near)
+    if not crowded.where(F.col("crowd") > config.crowd).isEmpty():
+        families = components(near.union(meet(strangers(crowded, "t", "crowd", config.crowd, families))))
 
     # one row stands for each class: the one of least id
     rows = sets.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "key")).alias("row"))
     members = rows.join(families.withColumnRenamed("node", "c1"), "c1").select(F.col("label").alias("family"), "c1", "row.id", F.col("row.key").alias("key"))
     sizes = families.groupBy(F.col("label").alias("family")).agg(F.count("*").alias("members"))
     members = settle(members.join(sizes, "family"))
-    if members.count() <= config.broadcast_rows:
-        members = F.broadcast(members)
-    found = texts.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID))).select("id", "key", "text").join(members, ["id", "key"])
-    found = _in_blocks(found, "members", config.block, "c1")
-    found = _grouped(found.select("family", "a", "b", "side", "c1", "text"), ["family", "a", "b"])
-    return sets, settle(found.mapInArrow(_verify(config), _EDGES))
+
+    def verified(placed: DataFrame) -> DataFrame:
+        own = placed.select("family", "a", "b", "side", "c1", "id", "key")
+        if own.count() <= config.broadcast_rows:
+            own = F.broadcast(own)
+        found = texts.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID))).select("id", "key", "text").join(own, ["id", "key"])
+        found = _grouped(found.select("family", "a", "b", "side", "c1", "text"), ["family", "a", "b"])
+        return settle(found.mapInArrow(_verify(config), _EDGES))
+
+    links = verified(_at_home(members, "members", config.block, "c1", rounds=2))
+    if not members.where(F.col("members") > config.block).isEmpty():
+        links = links.union(verified(strangers(members, "family", "members", config.block, components(links))))
+    return sets, links
 
 
 def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:

@@ -285,16 +285,30 @@ def variants(seed, families=12, copies=14):
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "few", "crowd", "block"), [(4, 85, 8, 4096, 1024), (5, 80, 2, 6, 4)])
-def test_components_match_brute_force(spark, width, percent, few, crowd, block):
+@pytest.mark.parametrize(("width", "percent", "few", "crowd", "block", "hot"), [(4, 85, 8, 4096, 1024, 64), (5, 80, 2, 6, 4, 3)])
+def test_components_match_brute_force(spark, width, percent, few, crowd, block, hot):
     rows = variants(width)
-    config = jaccard.JoinConfig(width, percent, few=few, crowd=crowd, block=block, sample=2, frequent=2)
+    config = jaccard.JoinConfig(width, percent, few=few, crowd=crowd, block=block, sample=2, frequent=2, hot=hot)
     want = brute_components({i: shingles(t, width) for i, t in rows}, percent)
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), config).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(shingles(t, width)) for i, t in rows}
 
 
+def test_rows_dealt_grow_in_proportion(spark):
+    """A family of near copies goes to two blocks a row, and a few strangers to every block."""
+    for n in (1500, 6000, 100_000):
+        members = spark.range(n).select(F.lit(7).cast("long").alias("family"), F.col("id").alias("c1"), F.lit(n).cast("long").alias("members"))
+        home = jaccard._at_home(members, "members", 1024, "c1", rounds=2)
+        assert home.count() == 2 * n
+        assert home.groupBy("family", "a", "b").count().agg(F.max("count")).first()[0] < 1400
+        connected = spark.range(n).where("id > 4").select(F.col("id").alias("node"), F.lit(5).cast("long").alias("label"))
+        away = jaccard.strangers(members, "family", "members", 1024, connected)
+        assert away.count() == n + 5 * -(-n // 1024)
+        every = connected.union(spark.range(5).select(F.col("id"), F.lit(5).cast("long")))
+        assert jaccard.strangers(members, "family", "members", 1024, every).isEmpty()
+
+
 def test_components_of_documents_match_brute_force(docs):
     want = brute_components({i: shingles(t, 4) for i, t in texts(docs).items()}, 85)
     got = entries.op7_ngram_jaccard(docs.sparkSession, SF).collect()
