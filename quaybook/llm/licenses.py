@@ -1,12 +1,13 @@
 """Licence scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-Templates are notices and characteristic passages of licences, a list of bounded size.  Each belongs to the window length
-next above twice its own, and windows of every length in use run over the whole text, half a window apart, so that one of them holds
-any occurrence entirely.  Bands of one row each then retrieve a template with the probability that :func:`guarantee` gives.  A
-retrieved template is verified around the windows: each stretch whose share of its shingles reaches the threshold is a match, repeated
-ones included.
+Templates are short notices and, of the full texts in ``license_texts``, all passages of twenty words or more, so that a licence is
+found whole or in part.  Each belongs to the window length next above twice its own, and windows of every length in use run over the whole
+text, half a window apart, so that one of them holds any occurrence entirely.  Bands of one row each retrieve a template with the
+probability that :func:`guarantee` gives; least hashes of long windows are taken from those of short ones, so all lengths together cost
+little more than one.  A retrieved template is verified around the windows: each stretch whose share of its shingles reaches the threshold
+is a match, repeated ones included.
 
-A window without any shingle of any template cannot share a band with one but by a collision of hashes, so its bands are not drawn.
+A passage that several licences share is listed under the first of them by name.
 
 Defined cases: a null or empty text has no matches; repeated rows are scanned one by one; an empty table gives no rows; other
 columns are ignored.  Words are runs of ASCII letters and digits or other characters beyond ASCII, A-Z lower-cased.
@@ -15,7 +16,10 @@ columns are ignored.  Words are runs of ASCII letters and digits or other charac
 from __future__ import annotations
 
 import bisect
+import functools
 import heapq
+import importlib.resources
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 
 from quaybook.llm.shared import hashed_words, in_small_batches, mix64, window_hashes
 
-#: Names and passages of public licences.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+#: Names and notices of public licences.
+NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -51,6 +55,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
@@ -62,6 +71,37 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("proprietary", "All rights reserved."),
 )
 
+#: Words of the longest passage, and of the shortest.
+_LONGEST_PASSAGE, _SHORTEST_PASSAGE = 128, 20
+
+
+def passages(text: str) -> list[str]:
+    """The paragraphs of a text that have words enough, long ones in parts of equal length."""
+    out = []
+    for paragraph in re.split(r"\n\s*\n", text):
+        words = paragraph.split()
+        parts = -(-len(words) // _LONGEST_PASSAGE)
+        for k in range(parts):
+            part = " ".join(words[len(words) * k // parts : len(words) * (k + 1) // parts])
+            if len(hashed_words(part.encode(), _BLANKS)[0]) >= _SHORTEST_PASSAGE:
+                out.append(part)
+    return out
+
+
+@functools.cache
+def default_templates() -> tuple[tuple[str, str], ...]:
+    """The notices and the passages of all texts that come with the package, each once."""
+    found, seen = list(NOTICES), {hashed_words(t.encode(), _BLANKS)[0].tobytes() for _, t in NOTICES}
+    folder = importlib.resources.files("quaybook.llm") / "license_texts"
+    for file in sorted(folder.iterdir(), key=lambda f: f.name):
+        for part in passages(file.read_text(encoding="utf-8")) if file.name.endswith(".txt") else ():
+            same = hashed_words(part.encode(), _BLANKS)[0].tobytes()
+            if same not in seen:
+                seen.add(same)
+                found.append((file.name.removesuffix(".txt"), part))
+    return tuple(found)
+
+
 #: Every ASCII byte but letters and digits parts words.
 _BLANKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
@@ -71,8 +111,10 @@ class LicenseConfig:
     #: Longest shingle in words; a template of few words has shorter ones, see :meth:`Template`.
     width: int = 5
     containment: float = 0.8
-    bands: int = 96
+    bands: int = 64
     seed: int = 11
+    #: Shingles whose hashes are held in all bands at once, a power of two.
+    stretch: int = 4096
 
 
 class Template:
@@ -86,25 +128,96 @@ class Template:
         self.window = 1 << (2 * len(words) - 1).bit_length()
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_TABLE_BITS = 20
+
+
+class _Kind:
+    """The templates of one shingle width and window length, by the least hash of each band."""
+
+    def __init__(self, names: list[int], signatures: list[np.ndarray], salt: np.ndarray) -> None:
+        keys = np.stack(signatures) ^ salt
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys, self.names = keys.ravel()[order], np.repeat(names, keys.shape[1])[order]
+        # a quick look tells nearly all windows that retrieve nothing
+        self.may = np.zeros(1 << _TABLE_BITS, bool)
+        self.may[self._slot(self.keys)] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(8)) & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
+
+    def retrieved(self, keys: np.ndarray) -> set[tuple[int, int]]:
+        """Pairs of window and template that share a band, from the keys of windows by band."""
+        band, window = np.nonzero(self.may[self._slot(keys)])
+        if not len(window):
+            return set()
+        wanted = keys[band, window]
+        low, high = np.searchsorted(self.keys, wanted), np.searchsorted(self.keys, wanted, "right")
+        return {(int(w), int(k)) for w, a, b in zip(window, low, high, strict=True) if a < b for k in self.names[a:b]}
+
+
 class Templates:
     """All templates with the lookup from bands to them, by shingle width and window length."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], config: LicenseConfig) -> None:
         self.config = config
         self.templates = [Template(n, t, config) for n, t in templates]
-        self.seeds = mix64(np.arange(1, config.bands + 1, dtype=np.uint64) + np.uint64(config.seed * 1000))
-        self.kinds: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = {}
-        self.vocabulary: dict[int, np.ndarray] = {}
+        self.seeds = mix64(np.arange(1, config.bands + 1, dtype=np.uint64) + np.uint64(config.seed * 1000))[:, None]
+        # keys of different bands never meet but by chance
+        self.salt = mix64(self.seeds[:, 0] + _ODD)
+        groups: dict[tuple[int, int], list[int]] = {}
         for k, t in enumerate(self.templates):
-            table = self.kinds.setdefault((t.width, t.window), {})
-            for band, low in enumerate(self.signature(t.shingles).tolist()):
-                table.setdefault((band, low), []).append(k)
-        for width in {w for w, _ in self.kinds}:
-            self.vocabulary[width] = np.unique(np.concatenate([t.shingles for t in self.templates if t.width == width]))
+            groups.setdefault((t.width, t.window), []).append(k)
+        self.kinds: dict[int, dict[int, _Kind]] = {}
+        for (width, window), ks in groups.items():
+            self.kinds.setdefault(width, {})[window] = _Kind(ks, [self.least(self.templates[k].shingles) for k in ks], self.salt)
+
+    def hashes(self, shingles: np.ndarray) -> np.ndarray:
+        """A hash of each shingle in each band."""
+        with np.errstate(over="ignore"):
+            return (shingles[None, :] ^ self.seeds) * _ODD
 
-    def signature(self, shingles: np.ndarray) -> np.ndarray:
+    def least(self, shingles: np.ndarray) -> np.ndarray:
         """Least hash in each band, a band having one row."""
-        return mix64(shingles[None, :] ^ self.seeds[:, None]).min(1)
+        return self.hashes(shingles).min(1)
+
+    def _blocks(self, shingles: np.ndarray, size: int) -> np.ndarray:
+        """Least hashes of the blocks of so many shingles, by band."""
+        whole = -(-len(shingles) // size) * size
+        out = []
+        for at in range(0, len(shingles), self.config.stretch):
+            part = self.hashes(shingles[at : at + self.config.stretch])
+            short = min(whole - at, self.config.stretch) - part.shape[1]
+            if short:
+                part = np.pad(part, ((0, 0), (0, short)), constant_values=np.iinfo(np.uint64).max)
+            out.append(part.reshape(part.shape[0], -1, size).min(2))
+        return np.concatenate(out, axis=1)
+
+    def retrieved(self, shingles: np.ndarray, width: int) -> dict[int, list[tuple[int, int]]]:
+        """For each template that shares a band with a window, stretches of shingles to verify."""
+        places: dict[int, list[tuple[int, int]]] = {}
+        kinds = self.kinds[width]
+        half = min(kinds) // 2
+        blocks = self._blocks(shingles, half) if len(shingles) else None
+        while blocks is not None:
+            if 2 * half in kinds:
+                # windows begin at each block and end with the next one
+                following = np.concatenate([blocks[:, 1:], blocks[:, -1:]], axis=1)
+                for window, k in sorted(kinds[2 * half].retrieved(np.minimum(blocks, following) ^ self.salt[:, None])):
+                    low, high = max(0, (window - 1) * half), (window + 3) * half
+                    around = places.setdefault(k, [])
+                    if around and low <= around[-1][1]:
+                        around[-1] = (around[-1][0], high)
+                    else:
+                        around.append((low, high))
+            if 2 * half >= max(kinds):
+                return places
+            if blocks.shape[1] % 2:
+                blocks = np.pad(blocks, ((0, 0), (0, 1)), constant_values=np.iinfo(np.uint64).max)
+            blocks = np.minimum(blocks[:, ::2], blocks[:, 1::2])
+            half *= 2
+        return places
 
     def matches(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """``(name, start, end, containment)`` in code points, by start; of overlapping matches the better one."""
@@ -112,32 +225,8 @@ class Templates:
             return []
         raw = text.encode("utf-8", "surrogatepass")
         words, edges = hashed_words(raw, _BLANKS)
-        #: Where a template was retrieved, as stretches of shingles.
-        places: dict[int, list[tuple[int, int]]] = {}
-        by_width: dict[int, np.ndarray] = {}
-        for width, vocabulary in self.vocabulary.items():
-            shingles = by_width[width] = window_hashes(words, width)
-            at = np.minimum(np.searchsorted(vocabulary, shingles), len(vocabulary) - 1)
-            inside = np.flatnonzero(vocabulary[at] == shingles)
-            if not len(inside):
-                continue
-            for (w, window), table in self.kinds.items():
-                if w != width:
-                    continue
-                half = window // 2
-                # windows begin at multiples of half; a shingle is in those that hold it entirely
-                for start in np.unique(np.concatenate([inside // half, np.maximum(inside // half - 1, 0)])) * half:
-                    part = shingles[start : start + window - width + 1]
-                    if not len(part):
-                        continue
-                    hits = {k for band, low in enumerate(self.signature(np.unique(part)).tolist()) for k in table.get((band, low), ())}
-                    for k in hits:
-                        low, high = max(0, int(start) - half), int(start) + window + half
-                        around = places.setdefault(k, [])
-                        if around and low <= around[-1][1]:
-                            around[-1] = (around[-1][0], high)
-                        else:
-                            around.append((low, high))
+        by_width = {width: window_hashes(words, width) for width in self.kinds}
+        places = {k: around for width, shingles in by_width.items() for k, around in self.retrieved(shingles, width).items()}
         found = [(k, *m) for k, around in places.items() for low, high in around for m in self._verified(self.templates[k], by_width[self.templates[k].width], low, high)]
         chosen: list[tuple[int, int, int, float]] = []
         taken = _Apart()
@@ -215,7 +304,7 @@ def guarantee(templates: Templates) -> float:
     worst = 1.0
     for t in templates.templates:
         shared = np.ceil(templates.config.containment * len(t.shingles))
-        union = t.window - t.width + 1 + len(t.shingles) - shared
+        union = t.window + len(t.shingles) - shared
         worst = min(worst, 1 - (1 - shared / union) ** templates.config.bands)
     return float(worst)
 
@@ -223,11 +312,13 @@ def guarantee(templates: Templates) -> float:
 _MATCHES = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, config: LicenseConfig = LicenseConfig()) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] | None = None, config: LicenseConfig = LicenseConfig()) -> DataFrame:
     """``doc_id, key, matches``: for each document the licences found with their spans; ``key`` is ``xxhash64(text)``."""
 
+    chosen = templates or default_templates()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(templates, config)
+        known = Templates(chosen, config)
         for batch in batches:
             found = [[dict(zip(("name", "start", "end", "containment"), m, strict=True)) for m in known.matches(cell.as_py())] for cell in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _MATCHES)], names=["doc_id", "key", "matches"])

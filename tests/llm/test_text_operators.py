@@ -622,7 +622,7 @@ def brute_licenses(text, config):
     """Names of templates whose shingles lie within some stretch of about their length."""
     out = set()
     words = [w for w in re.split(r"[^A-Za-z0-9\x80-\U0010ffff]+", text.lower()) if w]
-    for name, template in licenses.TEMPLATES:
+    for name, template in licenses.NOTICES:
         t = [w for w in re.split(r"[^A-Za-z0-9]+", template.lower()) if w]
         width = 5 if len(t) >= 20 else 2
         grams = {tuple(t[i : i + width]) for i in range(len(t) - width + 1)}
@@ -657,13 +657,13 @@ def brute_stretches(text, template, containment=0.8):
 
 def test_repeated_notices_are_all_found():
     config = licenses.LicenseConfig()
-    known = licenses.Templates(licenses.TEMPLATES, config)
+    known = licenses.Templates(licenses.NOTICES, config)
     spans = lambda text: [m[1:3] for m in known.matches(text)]
     assert spans("All rights reserved. a b c All rights reserved.") == [(0, 19), (27, 46)]
     assert spans("All rights reserved. All rights reserved.") == [(0, 19), (21, 40)]
     assert len(spans("é All rights reserved. " * 3000)) == 3000
     rng = random.Random(8)
-    for name, template in licenses.TEMPLATES:
+    for name, template in licenses.NOTICES:
         one = licenses.Templates(((name, template),), config)
         for _ in range(8):
             copies = []
@@ -679,10 +679,10 @@ def test_repeated_notices_are_all_found():
 
 
 def test_planted_licences_are_found():
-    known, rng = licenses.Templates(licenses.TEMPLATES, licenses.LicenseConfig()), random.Random(6)
+    known, rng = licenses.Templates(licenses.NOTICES, licenses.LicenseConfig()), random.Random(6)
     assert licenses.guarantee(known) > 0.999
     filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-    for k, (name, template) in enumerate(licenses.TEMPLATES):
+    for k, (name, template) in enumerate(licenses.NOTICES):
         text = f"{filler(rng.randint(0, 90))} {template} {filler(rng.randint(0, 90))}"
         found = known.matches(text)
         assert name in {n for n, *_ in found}, (k, name)
@@ -691,17 +691,37 @@ def test_planted_licences_are_found():
 
 
 def test_edited_licences_need_enough_shingles():
-    known = licenses.Templates(licenses.TEMPLATES, licenses.LicenseConfig())
-    words = dict(licenses.TEMPLATES)["ISC"].split()
+    known = licenses.Templates(licenses.NOTICES, licenses.LicenseConfig())
+    words = dict(licenses.NOTICES)["ISC"].split()
     words[10] = "changed"
     assert [n for n, *_ in known.matches(" ".join(words))] == ["ISC"]
     words[20] = words[28] = words[3] = "changed"
     assert known.matches(" ".join(words)) == []
 
 
+def test_full_texts_are_found_by_bands_alone():
+    config = licenses.LicenseConfig()
+    known, rng = licenses.Templates(licenses.default_templates(), config), random.Random(7)
+    assert licenses.guarantee(known) > 0.999
+    names = {n for n, _ in licenses.default_templates()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Artistic-1.0", "CC0-1.0", "MIT", "BSD", "ISC", "Zlib", "BSL-1.0", "EPL-2.0", "AGPL-3.0"} <= names
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    chosen = rng.sample(licenses.default_templates(), 60)
+    for name, template in chosen:
+        words = template.split()
+        if len(words) >= 60:
+            words[rng.randrange(10, 20)] = "changed"
+        text = f"{filler(rng.randint(0, 300))} {' '.join(words)} {filler(rng.randint(0, 300))}"
+        start = len(text.split(" ".join(words))[0])
+        found = known.matches(text)
+        # another licence may say the same in nearly the same words
+        assert any(abs(a - start) < 80 for _, a, _, _ in found), (name, template)
+    assert known.matches(filler(20_000)) == []
+
+
 def test_licences_of_documents_match_brute_force(docs):
     whole = texts(docs)
-    for r in licenses.scan(docs).collect():
+    for r in licenses.scan(docs, licenses.NOTICES).collect():
         got = {m["name"] for m in r["matches"]}
         want = brute_licenses(whole[r["doc_id"]] or "", None)
         # of overlapping matches only the better one is reported
