@@ -119,6 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, config: PuConfi
         return PuModel()
     share = lambda most, of: int(1_000_000 * min(1, most / of))
     draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000))
+    # without an id there is nothing to draw by
+    rows = rows.where("doc_id is not null")
     # bounded by most_positive, so it may be sent everywhere
     trusted = trusted.where(draw(1) < share(config.most_positive, n)).withColumn("positive", F.lit(True))
     chosen = rows.join(F.broadcast(trusted), "doc_id", "left")

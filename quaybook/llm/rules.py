@@ -3,10 +3,12 @@
 Sequential covering: rules are grown literal by literal on one half of the labelled rows, each literal a
 threshold on one statistic of a text, pruned on the other half, and what they cover is taken away before the next
 rule.  All counting happens in Spark over cells of binned statistics; the driver sees counts for each
-(statistic, bin) only.  The list comes out as one ordered conditional expression.
+(statistic, bin) only.  The list comes out as one ordered conditional expression.  It is learned from a bounded sample of labelled rows, so
+the statistics of all others are taken once, where they are judged.
 
 Defined cases: a null or empty text has no words and fails the base rules; an empty label table gives the empty list,
-which keeps whatever passes the base rules; repeated rows are judged one by one; other columns are left alone.
+which keeps whatever passes the base rules; a null id takes no part in learning; repeated rows are judged one by one; other columns are
+left alone.
 """
 
 from __future__ import annotations
@@ -148,12 +150,15 @@ class DecisionList:
 
 @dataclass(frozen=True)
 class CoverConfig:
-    max_rules: int = 8
-    max_literals: int = 3
+    #: About so many labelled rows are learned from at most.
+    most_labelled: int = 40_000
+    max_rules: int = 32
+    max_literals: int = 4
     #: Least rows that a rule must cover in each half, and least share of them that must be labelled 0.
     min_cover: int = 5
     min_precision: float = 0.9
-    quantiles: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99)
+    #: Quantiles of each class that may be thresholds; the extremes part a class that lies apart.
+    quantiles: tuple[float, ...] = (0.0, 0.002, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99, 0.998, 1.0)
 
 
 def learn(labelled: DataFrame, config: CoverConfig = CoverConfig()) -> DecisionList:
@@ -161,7 +166,7 @@ def learn(labelled: DataFrame, config: CoverConfig = CoverConfig()) -> DecisionL
     shares = F.array(*[F.lit(q) for q in config.quantiles])
     cuts = labelled.agg(
         *[
-            F.percentile_approx(F.when(F.col("bad") == bad, F.col("stats")[r]), shares, 1000).alias(f"{r}_{bad}")
+            F.percentile_approx(F.when(F.col("bad") == bad, F.col("stats")[r]), shares, 10000).alias(f"{r}_{bad}")
             for r in RATIOS
             for bad in (0, 1)
         ]
@@ -243,20 +248,28 @@ def _best_literal(counts: list, sizes: list[int], least: int) -> tuple[tuple[int
     return best and (best[1], best[2])
 
 
-def learn_from(stats: DataFrame, labels: DataFrame, config: CoverConfig = CoverConfig()) -> DecisionList:
-    """Learn from ``(doc_id, stats)`` and the label table; halves are dealt by a checksum of the id."""
-    usable = stats.where(F.col("doc_id").isNotNull() & ~base_failed(F.col("stats")))
-    joined = usable.join(one_label(labels, "quality", "__qb_label"), "doc_id")
-    halves = joined.select("stats", (1 - F.col("__qb_label")).alias("bad"), (F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) != 0).alias("grow"))
-    return learn(halves, config)
+def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``doc_id, stats, label`` of about ``most`` labelled documents at most."""
+    usable = one_label(labels, "quality", "__qb_label")
+    n = usable.count()
+    if n > most:
+        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    # bounded by `most`, so it may be sent everywhere
+    chosen = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")
+    return with_statistics(chosen).select("doc_id", "stats", F.col("__qb_label").alias("label"))
+
+
+def learn_from(docs: DataFrame, labels: DataFrame, config: CoverConfig = CoverConfig()) -> DecisionList:
+    """Learn from documents and the label table; halves are dealt by a checksum of the id."""
+    stats = labelled_statistics(docs, labels, config.most_labelled).where(~base_failed(F.col("stats")))
+    return learn(settle(stats.select("stats", (1 - F.col("label")).alias("bad"), (F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) != 0).alias("grow"))), config)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, config: CoverConfig = CoverConfig()) -> tuple[DataFrame, DecisionList]:
     """One row for each document with its statistics and verdict, and the list that gave it."""
-    stats = settle(with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"))
-    model = learn_from(stats, labels, config)
+    model = learn_from(docs, labels, config)
     s = F.col("stats")
-    out = stats.select(
+    out = with_statistics(docs.select("doc_id", "text")).select(
         "doc_id",
         *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed(s).alias("base_failed"),
@@ -266,9 +279,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, config: CoverConfig = CoverC
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, config: CoverConfig = CoverConfig()) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    stats = settle(with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"))
-    model = learn_from(stats, labels, config)
+    """The documents that the rules keep, with all their columns; repeated rows and those without an id are judged one by one."""
+    model = learn_from(docs, labels, config)
     s = F.col("__qb_stats")
-    judged = with_statistics(docs, "text", "__qb_stats")
-    return judged.where(~base_failed(s) & model.kept(s)).drop("__qb_stats")
+    return with_statistics(docs, "text", "__qb_stats").where(~base_failed(s) & model.kept(s)).drop("__qb_stats")

@@ -24,19 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of text that go to a Python worker at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of text that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
     """The same frame, after making sure that the session sends rows to Python workers in small batches.
 
-    Texts can be very long, and a batch of the usual ten thousand of them is held several times over.
+    Texts can be very long, and a batch of the usual ten thousand of them is held several times over.  Both bounds are settings of the
+    session that are read when a job runs, later than this, so they stay; smaller ones are left as they are.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name, "0")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = conf.get(name, "0").lower().removesuffix("b")
+        if not (held.isdecimal() and 0 < int(held) <= most):
+            conf.set(name, str(most))
     return df
 
 

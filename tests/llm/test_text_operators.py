@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips, or held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -412,6 +413,69 @@ def test_covering_finds_conjunctions(spark):
     assert sum(r["kept"] == (r["bad"] == 0) for r in judged) > 0.95 * len(judged)
 
 
+def slow_covering(rows, config):
+    """The definition, row by row: grow by information gain on one half, prune on the other, take away what is covered."""
+
+    def cuts(name):
+        out = set()
+        for bad in (0, 1):
+            values = sorted(r[0][name] for r in rows if r[1] == bad)
+            out |= {values[max(math.ceil(q * len(values)), 1) - 1] for q in config.quantiles}
+        return sorted(out)
+
+    names = list(rules.RATIOS)
+    literals = [(k, t, up) for k, name in enumerate(names) for t in cuts(name) for up in (True, False)]
+    holds = lambda lit, row: (row[0][names[lit[0]]] >= lit[1]) == lit[2]
+    rest, found = list(rows), []
+    while len(found) < config.max_rules:
+        covered, rule = [r for r in rest if r[2]], []
+        while len(rule) < config.max_literals:
+            total_p, total_n = sum(r[1] for r in covered), sum(1 - r[1] for r in covered)
+            if total_p < config.min_cover or not total_n:
+                break
+            best = None
+            for lit in literals:
+                inside = [r[1] for r in covered if holds(lit, r)]
+                p, n = sum(inside), len(inside) - sum(inside)
+                if p < config.min_cover or n == total_n:
+                    continue
+                gain = p * (math.log2(p / (p + n)) - math.log2(total_p / (total_p + total_n)))
+                if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                    best = (gain, lit)
+            if best is None:
+                break
+            rule.append(best[1])
+            covered = [r for r in covered if holds(best[1], r)]
+        worth = []
+        for i in range(len(rule)):
+            kept = [r[1] for r in rest if not r[2] and all(holds(x, r) for x in rule[: i + 1])]
+            worth.append(((2 * sum(kept) - len(kept)) / len(kept) if kept else -1.0, -i, sum(kept), len(kept)))
+        if not worth:
+            break
+        _, at, p, n = max(worth)
+        if p < config.min_cover or p < config.min_precision * n:
+            break
+        rule = rule[: 1 - at]
+        found.append([(names[k], up, t) for k, t, up in rule])
+        rest = [r for r in rest if not all(holds(x, r) for x in rule)]
+    return found
+
+
+def test_lists_of_several_rules_match_a_slow_covering(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(1200):
+        stats = {r: round(rng.random(), 3) for r in rules.RATIOS}
+        bad = (stats["symbol_share"] > 0.8) or (stats["capital_share"] > 0.6 and stats["distinct_share"] < 0.4) or (stats["digit_share"] > 0.7 and stats["word_length"] < 0.3)
+        rows.append((stats, int(bad), i % 3 != 0))
+    fields = ", ".join(f"{r}: double" for r in rules.RATIOS)
+    model = rules.learn(spark.createDataFrame(rows, f"stats struct<{fields}>, bad int, grow boolean"))
+    learned = [[(x.statistic, x.at_least, x.threshold) for x in rule] for rule in model.rules]
+    assert learned == slow_covering(rows, rules.CoverConfig())
+    assert len(learned) >= 3
+    assert any(len(rule) > 1 for rule in learned)
+
+
 # classifiers -------------------------------------------------------------------------------------------------------
 
 
