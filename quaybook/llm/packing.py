@@ -258,6 +258,7 @@ def pack(docs: DataFrame, config: PackConfig, with_ids: bool = False) -> DataFra
     # whole windows come after those of combinations and of the stream, partition after partition
     streamed = sum(n * (hi - lo) for n, lo, hi, _, _, s in rows if s)
     first = windows + -(-streamed // window)
+    # one task numbers the partitions, a row of two numbers for each
     whole = stats.groupBy("part").agg(F.sum("whole").alias("n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = whole.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0)) + first).drop("n")

@@ -36,7 +36,7 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     """
     conf = df.sparkSession.conf
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        held = conf.get(name, "0").lower().removesuffix("b")
+        held = conf.get(name).lower().removesuffix("b")
         if not (held.isdecimal() and 0 < int(held) <= most):
             conf.set(name, str(most))
     return df
