@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaybook.llm import jaccard, licenses, neighbours, oracle, packing, pieces, pii, quality, rules, secrets, toxicity
-from quaybook.llm.shared import table
+from quaybook.llm.shared import settle, table
 
 
 def pack_config(**settings: int) -> packing.PackConfig:
@@ -27,8 +27,9 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id"), 3)
-    model = quality.train(docs, table(spark, sf_dir, "labels"), fold != 1)
-    return quality.score(docs, model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+    rows = settle(quality.described(docs))
+    model = quality.train_on(rows, table(spark, sf_dir, "labels"), fold != 1)
+    return quality.score_rows(rows, model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled texts of good quality; a bounded sample of all texts, taken without their labels, is the unlabelled set.
-The class prior is estimated by the best-bin bound: where negatives vanish, the unlabelled set is as dense as the prior times the
-positives.  A logistic model over binned statistics of a text then minimises the non-negative unbiased risk, in which the
-estimated risk of the negatives, unlabelled minus prior times positives, is never allowed below zero.  Its intercept is set so that
-the share of the unlabelled texts at half or above is the prior.
+Trusted positives are labelled texts of good quality; all texts, taken without their labels, are the unlabelled set.  The class prior
+is estimated by the best-bin bound: where negatives vanish, the unlabelled set is as dense as the prior times the positives.  A
+logistic model over binned statistics of a text then minimises the non-negative unbiased risk, in which the estimated risk of the
+negatives, unlabelled minus prior times positives, is never allowed below zero.  Its intercept is set so that the share of the unlabelled
+texts at half or above is the prior.
+
+Weights are fitted on bounded samples; the prior and the intercept come from histograms of the scores of all texts.
 
 Defined cases: a null or empty text has the statistics of an empty one and gets a score; a null id takes no part in training;
 without positives every score is 0.5; repeated rows are scored one by one; other columns are left alone.
@@ -12,7 +14,7 @@ without positives every score is 0.5; repeated rows are scored one by one; other
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaybook.llm.shared import in_small_batches, one_label
+from quaybook.llm.shared import in_small_batches, one_label, settle
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "long_word", "distinct_share", "repeat_share", "capital_share", "digit_share", "symbol_share",
@@ -50,7 +52,7 @@ def statistics(text: str | None) -> list[float]:
 
 @dataclass(frozen=True)
 class PuConfig:
-    #: About so many trusted positives and unlabelled texts are used at most.
+    #: About so many trusted positives and unlabelled texts are used at most to fit weights.
     most_positive: int = 12_000
     most_unlabelled: int = 24_000
     bins: int = 12
@@ -78,21 +80,55 @@ class PuModel:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [statistics(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["positive", "x"])
+        rows = [statistics(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Best-bin estimate from held-back scores: least ratio of the shares above a threshold, with a margin for small samples."""
-    p, u = np.sort(positive), np.sort(unlabelled)
-    levels = np.quantile(p, np.linspace(0.0, 0.9, 91))
-    above_p = 1 - np.searchsorted(p, levels) / len(p)
-    above_u = 1 - np.searchsorted(u, levels) / len(u)
-    margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+def described(docs: DataFrame) -> DataFrame:
+    """``doc_id, x``: the statistics of each document."""
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_describe, "doc_id long, x array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(STATISTICS))
+
+
+def counts_of_scores(rows: DataFrame, model: PuModel, weights: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many texts score, before the logistic curve, below the first edge, from each edge to the next, and from the last on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(edges) + 1, np.int64)
+        for batch in batches:
+            total += np.bincount(np.searchsorted(edges, model.design(_matrix(batch.column(0))) @ weights, "right"), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["bin", "n"])
+
+    out = np.zeros(len(edges) + 1, np.int64)
+    for r in rows.select("x").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def levels_of(positive: np.ndarray) -> np.ndarray:
+    """Thresholds at which shares are compared."""
+    return np.quantile(np.sort(positive), np.linspace(0.0, 0.9, 91))
+
+
+def best_bin(positive: np.ndarray, above_u: np.ndarray, unlabelled: int) -> float:
+    """Least ratio of the shares above a threshold, with a margin for small samples."""
+    p = np.sort(positive)
+    above_p = 1 - np.searchsorted(p, levels_of(p)) / len(p)
+    margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(unlabelled))
     best = int(np.argmin((above_u + margin) / above_p))
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Best-bin estimate from held-back scores."""
+    above = 1 - np.searchsorted(np.sort(unlabelled), levels_of(positive)) / len(unlabelled)
+    return best_bin(positive, above, len(unlabelled))
+
+
 def fit_nonnegative(a: np.ndarray, b: np.ndarray, prior: float, config: PuConfig) -> np.ndarray:
     """Weights that minimise the non-negative risk with logistic loss over positives ``a`` and unlabelled ``b``, by Adam."""
     w, m, v = np.zeros(a.shape[1]), np.zeros(a.shape[1]), np.zeros(a.shape[1])
@@ -112,50 +148,56 @@ def fit_nonnegative(a: np.ndarray, b: np.ndarray, prior: float, config: PuConfig
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, config: PuConfig = PuConfig()) -> PuModel:
     """Fit with positives among labels for whose rows ``may_learn`` holds."""
-    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return train_on(settle(described(docs)), labels, may_learn, config)
+
+
+def train_on(rows: DataFrame, labels: DataFrame, may_learn: Column, config: PuConfig = PuConfig()) -> PuModel:
+    """:func:`train` on what :func:`described` gives, which is read several times."""
     trusted = one_label(labels.where(may_learn), "quality", "y").where("y = 1").select("doc_id")
-    n, total = trusted.count(), docs.count()
+    n, total = trusted.count(), rows.count()
     if not n or not total:
         return PuModel()
     share = lambda most, of: int(1_000_000 * min(1, most / of))
     draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000))
-    # without an id there is nothing to draw by
-    rows = rows.where("doc_id is not null")
     # bounded by most_positive, so it may be sent everywhere
-    trusted = trusted.where(draw(1) < share(config.most_positive, n)).withColumn("positive", F.lit(True))
-    chosen = rows.join(F.broadcast(trusted), "doc_id", "left")
-    chosen = chosen.where(F.col("positive") | (draw(2) < share(config.most_unlabelled, total)))
-    both = chosen.select("text", F.when(F.col("positive"), F.lit(1)).otherwise(0).alias("positive"), (draw(2) < share(config.most_unlabelled, total)).alias("u"))
-    found = both.select("text", (F.col("positive") + F.when(F.col("u"), 2).otherwise(0)).alias("positive")).mapInArrow(_describe, "positive int, x array<double>").toPandas()
-    x, role = np.array(found["x"].tolist(), float).reshape(len(found), len(STATISTICS)), found["positive"].to_numpy()
-    positive, unlabelled = x[role % 2 == 1], x[role >= 2]
+    trusted = trusted.where(draw(1) < share(config.most_positive, n)).withColumn("positive", F.lit(1))
+    # without an id there is nothing to draw by
+    both = rows.where("doc_id is not null").join(F.broadcast(trusted), "doc_id", "left").withColumn("u", (draw(2) < share(config.most_unlabelled, total)).cast("int"))
+    found = both.where("positive = 1 or u = 1").select(F.coalesce("positive", F.lit(0)).alias("positive"), "u", "x").toPandas()
+    x = np.array(found["x"].tolist(), float).reshape(len(found), len(STATISTICS))
+    positive, unlabelled = x[found["positive"] == 1], x[found["u"] == 1]
     if not len(positive) or not len(unlabelled):
         return PuModel()
     tail = [0.002, 0.01, 0.03, *np.linspace(0.08, 0.92, config.bins), 0.97, 0.99, 0.998]
     model = PuModel(cuts=[np.unique(np.quantile(unlabelled[:, k], tail)) for k in range(x.shape[1])])
     a, b = model.design(positive), model.design(unlabelled)
-    # one half ranks the texts, the other tells the prior
-    w = fit_nonnegative(a[::2], b[::2], 0.5, config)
-    model.prior = estimate_prior(a[1::2] @ w, b[1::2] @ w) if len(a) > 1 and len(b) > 1 else 0.5
+    if len(a) > 1:
+        # one half of the positives ranks the texts, the other tells the prior among all of them
+        w = fit_nonnegative(a[::2], b[::2], 0.5, config)
+        held = a[1::2] @ w
+        edges = np.unique(levels_of(held))
+        seen = counts_of_scores(rows, model, w, edges)
+        above = (seen[::-1].cumsum()[::-1][1:] / total)[np.searchsorted(edges, levels_of(held))]
+        model.prior = best_bin(held, above, total)
     model.weights = fit_nonnegative(a, b, model.prior, config)
-    # as large a share of the unlabelled texts scores half or more as the prior says are positive
-    model.weights[-1] -= np.quantile(b @ model.weights, 1 - model.prior)
+    # as large a share of all texts scores half or more as the prior says are positive
+    edges = np.linspace(-30, 30, 6001)
+    below = counts_of_scores(rows, model, model.weights, edges).cumsum()[:-1]
+    model.weights[-1] -= edges[min(int(np.searchsorted(below, (1 - model.prior) * total)), len(edges) - 1)]
     return model
 
 
-def _score(model: PuModel) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                x = np.array([statistics(t.as_py()) for t in batch.column(1)], float).reshape(batch.num_rows, len(STATISTICS))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+def score(docs: DataFrame, model: PuModel) -> DataFrame:
+    """``doc_id, score, predicted`` for each document."""
+    return score_rows(described(docs), model)
 
-    return run
 
+def score_rows(rows: DataFrame, model: PuModel) -> DataFrame:
+    """:func:`score` of what :func:`described` gives."""
 
-def score(docs: DataFrame, model: PuModel) -> DataFrame:
-    """``doc_id, score, predicted`` for each document."""
-    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score(model), "doc_id long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))), pa.float64())], names=["doc_id", "score"])
+
+    out = rows.mapInArrow(run, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

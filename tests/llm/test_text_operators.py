@@ -504,6 +504,65 @@ def test_nonnegative_risk_and_prior():
     assert abs(quality.estimate_prior(one(positive) @ w, one(unlabelled) @ w) - 0.7) < 0.08
 
 
+def test_the_fit_matches_a_slow_one():
+    rng = np.random.default_rng(9)
+    a, b, prior = rng.normal(0.6, 1, (12, 3)), rng.normal(0, 1, (17, 3)), 0.6
+    config = quality.PuConfig(steps=40)
+    w, m, v = [0.0] * 3, [0.0] * 3, [0.0] * 3
+    score = lambda row: sum(x * y for x, y in zip(row, w, strict=True))
+    for t in range(1, config.steps + 1):
+        # loss of calling a text negative: log(1 + exp(score)); positive: that of the score's opposite
+        loss = sum(math.log1p(math.exp(score(r))) for r in b) / len(b) - prior * sum(math.log1p(math.exp(score(r))) for r in a) / len(a)
+        sigmoid = lambda r: 1 / (1 + math.exp(-score(r)))
+        negative = [sum(sigmoid(r) * r[k] for r in b) / len(b) - prior * sum(sigmoid(r) * r[k] for r in a) / len(a) for k in range(3)]
+        positive = [prior * sum((sigmoid(r) - 1) * r[k] for r in a) / len(a) for k in range(3)]
+        g = [(positive[k] + negative[k] if loss >= 0 else -negative[k]) + config.decay * w[k] for k in range(3)]
+        m = [0.9 * x + 0.1 * y for x, y in zip(m, g, strict=True)]
+        v = [0.999 * x + 0.001 * y * y for x, y in zip(v, g, strict=True)]
+        w = [w[k] - config.rate * (m[k] / (1 - 0.9**t)) / (math.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) for k in range(3)]
+    assert np.allclose(quality.fit_nonnegative(a, b, prior, config), w, atol=1e-9)
+
+
+def test_prior_and_intercept_rest_on_all_texts(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality.settle(quality.described(docs))
+    # few texts fit the weights, all of them tell the share
+    model = quality.train_on(rows, labels, F.lit(True), quality.PuConfig(most_unlabelled=60))
+    scored = quality.score_rows(rows, model).collect()
+    assert abs(sum(r["predicted"] for r in scored) / len(scored) - model.prior) < 0.03
+    x = np.array([r["x"] for r in rows.collect()])
+    edges = np.array([-1.0, 0.0, 0.5])
+    values = model.design(x) @ model.weights
+    want = [int((values < -1).sum()), int(((values >= -1) & (values < 0)).sum()), int(((values >= 0) & (values < 0.5)).sum()), int((values >= 0.5).sum())]
+    assert quality.counts_of_scores(rows, model, model.weights, edges).tolist() == want
+
+
+def test_toxic_log_odds_match_slow_counts(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, F.lit(True))
+    label = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
+    first = {}
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        if r["doc_id"] in label:
+            first.setdefault(r["text"], label[r["doc_id"]])
+    counts = (Counter(), Counter())
+    for t, y in first.items():
+        counts[y].update(toxicity.with_stems(set(re.findall(r"[^\W\d_]+", (t or "").lower()))))
+    clean, toxic = (sum(c.values()) for c in counts)
+    a = 0.02 * (clean + toxic)
+    want = {}
+    for token in counts[0] | counts[1]:
+        p, n = counts[1][token], counts[0][token]
+        if p + n < 5:
+            continue
+        prior = (p + n) * a / (clean + toxic)
+        odds = math.log((p + prior) / (toxic + a - p - prior)) - math.log((n + prior) / (clean + a - n - prior))
+        if abs(odds) >= 1 and abs(odds) / math.sqrt(1 / (p + prior) + 1 / (n + prior)) >= 4:
+            want[token] = odds
+    assert set(model.scores) == set(want)
+    assert all(abs(model.scores[k] - x) < 1e-9 for k, x in want.items())
+
+
 def slow_segments(values):
     """The definition: take the best run, the longest of equals, then those left and right of it."""
 
