@@ -139,10 +139,11 @@ _ANALYTICS = f"""
 
 #: Where every message from the first sample on brings one, as here, those are gone before whose latest time so far is too old.
 _FALLING = f"""
-    SELECT b.symbol, b.seq, round(CASE WHEN s.pos - coalesce(g.pos, 0) >= 2 THEN sqrt(CAST(s.total - f.total AS DOUBLE)) END, 6) AS rolling_realized_vol
-    FROM book b LEFT JOIN samples s USING (symbol, seq)
-    ASOF LEFT JOIN (SELECT symbol, latest, max(pos) AS pos FROM samples GROUP BY ALL) g ON s.symbol = g.symbol AND s.latest - {_WIDTH} > g.latest
-    LEFT JOIN samples f ON f.symbol = s.symbol AND f.pos = coalesce(g.pos, 0) + 1"""
+    SELECT b.symbol, b.seq, round(CASE WHEN n >= 2 THEN sqrt(CAST(total - first_total AS DOUBLE)) END, 6) AS rolling_realized_vol
+    FROM book b LEFT JOIN (
+      SELECT symbol, seq, total, count(*) OVER v AS n, first_value(total) OVER v AS first_total
+      FROM (SELECT *, CAST(latest AS HUGEINT) * {_FAR} + pos AS k FROM samples)
+      WINDOW v AS (PARTITION BY symbol ORDER BY k RANGE BETWEEN CAST({_WIDTH} AS HUGEINT) * {_FAR} + {_FAR - 1} PRECEDING AND CURRENT ROW)) USING (symbol, seq)"""
 
 _TOP = """
     SELECT symbol, max(price) FILTER (side = 1 AND rank = 1) AS bid, max(total_size) FILTER (side = 1 AND rank = 1) AS bid_size,
