@@ -483,6 +483,9 @@ def accuracy(spark, query, column, folder="/root/testdata/sf0.01"):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     held = query(spark, folder).where("held_out").join(labels, "doc_id").select("predicted", "score", F.col(column).alias("y")).collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in held)
+    good, bad = ([r["score"] for r in held if r["y"] == y] for y in (1, 0))
+    # AUC
+    assert sum((x > y) + 0.5 * (x == y) for x in good for y in bad) >= 0.9 * len(good) * len(bad)
     return sum(r["predicted"] == r["y"] for r in held) / len(held)
 
 
