@@ -50,7 +50,7 @@ _NOT_LETTER = np.array([not c.isalpha() for c in _ASCII] + [False] * 128)
 _NOT_WORD = np.array([not c.isalnum() for c in _ASCII] + [False] * 128)
 _IS_DIGIT = np.array([c.isdigit() for c in _ASCII] + [False] * 128)
 _IS_BLANK = np.array([c.isspace() for c in _ASCII] + [False] * 128)
-_IS_MARK = np.array([c in ".,;!?:" for c in _ASCII] + [False] * 128)
+_MARKS = "".join(c for c in _ASCII if c.isprintable() and not c.isalnum() and c not in "()[]{}<>")
 _ODD = re.compile(r"(?=[^\x00-\x7f])[\W\d_]")
 #: Longest instance in characters, and most plain words between two patterns.
 _LONGEST, _MOST_WORDS = 320, 6
@@ -129,7 +129,13 @@ def _pieces(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int
             elif _BRACKETED.fullmatch(core):
                 sort = "b"
             else:
-                sort = "n" if any(c.isalnum() for c in core[:_LONGEST]) else "-"
+                # marks of any kind around a plain word leave it one
+                bare = core.strip(_MARKS)
+                if bare.isalpha() or _PLAIN.fullmatch(bare):
+                    a += len(core) - len(core.lstrip(_MARKS))
+                    b, sort = a + len(bare), "w"
+                else:
+                    sort = "n" if any(c.isalnum() for c in core[:_LONGEST]) else "-"
             if at < len(taken) and taken[at][0] < b:
                 sort = "k"
             if out and 0 < a - last <= 2 and out[-1][1] == last and "\n" not in text[last:a]:
@@ -291,13 +297,10 @@ def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other, full = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), bool)
-        seen = np.empty((0, 2), np.uint64)
-
-        def distinct(rows: list[np.ndarray]) -> np.ndarray:
-            # fewer than there are only keep a pattern in
-            out = np.unique(np.concatenate([seen, *rows]), axis=0)
-            full[np.bincount(out[:, 0].astype(np.int64), minlength=len(patterns)) >= 4096] = True
-            return out
+        # pattern and filler in one number; fewer fillers than there are only keep a pattern in
+        shift = np.uint64(64 - max(len(patterns) - 1, 1).bit_length())
+        seen = np.empty(0, np.uint64)
+        counted = lambda: np.bincount((seen >> shift).astype(np.int64), minlength=len(patterns))
 
         held: list[np.ndarray] = []
         for batch in batches:
@@ -308,9 +311,11 @@ def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if not len(hashes):
                 continue
             octets = np.frombuffer(raw, np.uint8)
-            digits = np.concatenate([[0], np.cumsum(_IS_DIGIT[octets])])
-            # a plain word has blanks before it, and behind it, at most after one mark
-            plain = (digits[last] == digits[first]) & _IS_BLANK[octets[np.maximum(first - 1, 0)]] & (_IS_BLANK[octets[last]] | (_IS_MARK[octets[last]] & _IS_BLANK[octets[np.minimum(last + 1, len(raw) - 1)]]))
+            digits, blanks = (np.concatenate([[0], np.cumsum(kind[octets])]) for kind in (_IS_DIGIT, _IS_BLANK))
+            # a plain word has no digit, and blanks part it from the words on both sides, whatever marks there are
+            parted = blanks[np.append(first, len(raw))] > blanks[np.concatenate([[0], last])]
+            parted[0] = True
+            plain = (digits[last] == digits[first]) & parted[:-1] & parted[1:]
             for at, pattern, side in known(hashes):
                 slot = at + side
                 inside = (slot >= 0) & (slot < len(hashes))
@@ -319,11 +324,12 @@ def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 other += np.bincount(pattern[~word], minlength=len(patterns))
                 keep = word & ~full[pattern]
                 if keep.any():
-                    held.append(np.unique(np.stack([pattern[keep].astype(np.uint64), hashes[slot[keep]]], 1), axis=0))
-            if sum(map(len, held)) > 500_000:
-                seen, held = distinct(held), []
-        seen = distinct(held)
-        counts = np.bincount(seen[:, 0].astype(np.int64), minlength=len(patterns))
+                    held.append(np.unique((pattern[keep].astype(np.uint64) << shift) | (hashes[slot[keep]] >> (np.uint64(64) - shift))))
+            if sum(map(len, held)) > 200_000:
+                seen, held = np.unique(np.concatenate([seen, *held])), []
+                full = counted() >= 4096
+        seen = np.unique(np.concatenate([seen, *held]))
+        counts = counted()
         some = np.flatnonzero(counts + other)
         # numbers only: the words of the few patterns that stay in are sent later, with their slots
         yield pa.RecordBatch.from_arrays([pa.array([patterns[k] for k in some], pa.string()), pa.array(counts[some]), pa.array(other[some])], names=["pattern", "plain", "other"])
@@ -474,7 +480,8 @@ def find(docs: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFr
         if r["plain"] > room * (backed[r["pattern"]] + 2 * r["other"]):
             del backed[r["pattern"]]
     patterns = list(backed)
-    filled = settle(rows.mapInArrow(_filler(patterns), _FILLED))
+    # without a pattern that stays in, no slot needs a look
+    filled = settle(rows.mapInArrow(_filler(patterns), _FILLED)) if patterns else docs.sparkSession.createDataFrame([], _FILLED)
     words = filled.select(F.explode("plain").alias("w")).select("w.pattern", "w.value", F.lit(None).cast("string").alias("kind"))
     edges = settle(seeds.unionByName(edge(of(filled))).unionByName(words).distinct())
     _, added = score_graph(edges, config)
