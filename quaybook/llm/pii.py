@@ -51,7 +51,6 @@ _NOT_WORD = np.array([not c.isalnum() for c in _ASCII] + [False] * 128)
 _IS_DIGIT = np.array([c.isdigit() for c in _ASCII] + [False] * 128)
 _IS_BLANK = np.array([c.isspace() for c in _ASCII] + [False] * 128)
 _MARKS = "".join(c for c in _ASCII if c.isprintable() and not c.isalnum() and c not in "()[]{}<>")
-_ODD = re.compile(r"(?=[^\x00-\x7f])[\W\d_]")
 #: Longest instance in characters, and most plain words between two patterns.
 _LONGEST, _MOST_WORDS = 320, 6
 
@@ -247,6 +246,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: Of so many different words one is counted.
+_ONE_IN = 4
+
+
 class PatternHashes:
     """Where the words of lexical patterns stand in lower-cased texts, found for all words of a batch at once."""
 
@@ -292,16 +295,17 @@ class PatternHashes:
 
 
 def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each pattern how many different plain words stand beside it in a task, about 4096 at most, and how often anything else does."""
+    """For each pattern how many different plain words stand beside it in a task, how often anything else does, and the least of the words' hashes.
+
+    Of words only a quarter, told by their hash, is looked at.
+    """
     known = PatternHashes(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other, full = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), bool)
-        # pattern and filler in one number; fewer fillers than there are only keep a pattern in
+        other = np.zeros(len(patterns), np.int64)
+        # pattern and filler in one number
         shift = np.uint64(64 - max(len(patterns) - 1, 1).bit_length())
         seen = np.empty(0, np.uint64)
-        counted = lambda: np.bincount((seen >> shift).astype(np.int64), minlength=len(patterns))
-
         held: list[np.ndarray] = []
         for batch in batches:
             # a digit between texts is no plain word
@@ -322,17 +326,25 @@ def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 slot = np.clip(slot, 0, len(hashes) - 1)
                 word = plain[slot] & inside
                 other += np.bincount(pattern[~word], minlength=len(patterns))
-                keep = word & ~full[pattern]
+                keep = word & ((hashes[slot] & np.uint64(_ONE_IN - 1)) == 0)
                 if keep.any():
                     held.append(np.unique((pattern[keep].astype(np.uint64) << shift) | (hashes[slot[keep]] >> (np.uint64(64) - shift))))
-            if sum(map(len, held)) > 200_000:
+            if sum(map(len, held)) > max(500_000, len(seen)):
                 seen, held = np.unique(np.concatenate([seen, *held])), []
-                full = counted() >= 4096
         seen = np.unique(np.concatenate([seen, *held]))
-        counts = counted()
-        some = np.flatnonzero(counts + other)
+        ends = np.searchsorted(seen, np.arange(1, len(patterns), dtype=np.uint64) << shift)
+        words = np.split(seen.view(np.int64), ends)
+        some = [k for k in range(len(patterns)) if len(words[k]) or other[k]]
         # numbers only: the words of the few patterns that stay in are sent later, with their slots
-        yield pa.RecordBatch.from_arrays([pa.array([patterns[k] for k in some], pa.string()), pa.array(counts[some]), pa.array(other[some])], names=["pattern", "plain", "other"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([patterns[k] for k in some], pa.string()),
+                pa.array([len(words[k]) for k in some], pa.int64()),
+                pa.array(other[some]),
+                pa.array([words[k][:128] for k in some], pa.list_(pa.int64())),
+            ],
+            names=["pattern", "plain", "other", "least"],
+        )
 
     return run
 
@@ -387,30 +399,45 @@ def _filler(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def _odd(lower: str) -> bool:
+    """Whether a text has characters beyond ASCII that :data:`_NEXT_WORD` takes for no letters."""
+    return not lower.isascii() and any(c > "\x7f" and not (c.isalnum() and not c.isdecimal()) for c in set(lower))
+
+
 def _hit_places(texts: list[str | None], known: PatternHashes) -> list[list[int]]:
     """For each text the places, in code points, of words that a pattern has beside its slot."""
-    out: list[list[int]] = []
-    for text in texts:
+    out: list[list[int]] = [[] for _ in texts]
+    usual: list[int] = []
+    parts: list[bytes] = []
+    for k, text in enumerate(texts):
         if not text:
-            out.append([])
             continue
         lower = text.lower()
-        if len(lower) != len(text) or (not lower.isascii() and _ODD.search(lower)):
-            # letters are told from the rest by the expression, and places by what it finds
-            found = list(_NEXT_WORD.finditer(lower))
-            hashes = hashed_words(" ".join(m.group() for m in found).encode("utf-8", "surrogatepass"), _IS_BLANK)[0]
-            at = np.array([m.start() for m in found], np.int64)
-            hit = sorted({int(x) for places, _, _ in known(hashes) for x in places}) if len(hashes) else []
-            # where lower-casing lengthens a text, all of it is looked at
-            out.append(list(range(0, len(text), _AROUND)) if hit and len(lower) != len(text) else at[hit].tolist())
+        if len(lower) == len(text) and not _odd(lower):
+            usual.append(k)
+            parts.append(lower.encode("utf-8", "surrogatepass"))
             continue
-        raw = lower.encode("utf-8", "surrogatepass")
-        hashes, edges = hashed_words(raw, _NOT_LETTER)
-        hit = np.unique(np.concatenate([places for places, _, _ in known(hashes)])) if len(hashes) else np.empty(0, np.int64)
-        at = edges[::2][hit]
-        if len(at) and not lower.isascii():
-            at = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[at] - 1
-        out.append(at.tolist())
+        # letters are told from the rest by the expression, and places by what it finds
+        found = list(_NEXT_WORD.finditer(lower))
+        hashes = hashed_words(" ".join(m.group() for m in found).encode("utf-8", "surrogatepass"), _IS_BLANK)[0]
+        hit = sorted({int(x) for places, _, _ in known(hashes) for x in places}) if len(hashes) else []
+        # where lower-casing lengthens a text, all of it is looked at
+        out[k] = list(range(0, len(text), _AROUND)) if hit and len(lower) != len(text) else [found[x].start() for x in hit]
+    # the others are searched together; a pair of words from two texts only makes a place to look at
+    raw = b"\n".join(parts)
+    hashes, edges = hashed_words(raw, _NOT_LETTER)
+    if not len(hashes):
+        return out
+    at = edges[::2][np.unique(np.concatenate([places for places, _, _ in known(hashes)]))]
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+    of = np.searchsorted(starts, at, "right") - 1
+    for k in np.unique(of).tolist():
+        places = at[of == k] - starts[k]
+        part = np.frombuffer(parts[k], np.uint8)
+        if len(parts[k]) != len(texts[usual[k]]):
+            # every byte but the continuing ones begins a code point
+            places = np.cumsum((part & 0xC0) != 0x80)[places] - 1
+        out[usual[k]] = places.tolist()
     return out
 
 
@@ -472,13 +499,17 @@ def find(docs: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFr
     backed = {r["pattern"]: r["n"] for r in seeds.groupBy("pattern", "kind").count().where(F.col("count") >= config.least_seeds).groupBy("pattern").agg(F.sum("count").alias("n")).collect()}
     if len(backed) > config.most_patterns:
         raise ValueError(f"{len(backed)} patterns have {config.least_seeds} seeds or more; raise least_seeds, as {config.most_patterns} are sent to every task at most")
-    # nor can one with too many plain words, even if all else that stands beside it, counted twice over, were of its kind;
-    # there are at least as many plain words as the task with most of them has
-    counted = rows.mapInArrow(_counter(list(backed)), "pattern string, plain long, other long") if backed else None
-    room = 1 / config.pattern_confidence - 1
-    for r in counted.groupBy("pattern").agg(F.max("plain").alias("plain"), F.sum("other").alias("other")).collect() if backed else ():
-        if r["plain"] > room * (backed[r["pattern"]] + 2 * r["other"]):
-            del backed[r["pattern"]]
+    # nor can one with too many plain words, even if all else that stands beside it, counted twice over, were of its kind
+    if backed:
+        counted = settle(rows.mapInArrow(_counter(list(backed)), "pattern string, plain long, other long, least array<long>"))
+        union = counted.select("pattern", F.explode("least").alias("h")).groupBy("pattern").agg(F.countDistinct("h").alias("several"))
+        sums = counted.groupBy("pattern").agg(F.max("plain").alias("plain"), F.sum("other").alias("other")).join(union, "pattern", "left")
+        room = 1 / config.pattern_confidence - 1
+        for r in sums.collect():
+            # words that were looked at, in one task or in several; two and a half times as many as there may be are no accident
+            words = max(r["plain"], r["several"] or 0)
+            if words >= 40 and words * _ONE_IN > 2.5 * room * (backed[r["pattern"]] + 2 * r["other"]):
+                del backed[r["pattern"]]
     patterns = list(backed)
     # without a pattern that stays in, no slot needs a look
     filled = settle(rows.mapInArrow(_filler(patterns), _FILLED)) if patterns else docs.sparkSession.createDataFrame([], _FILLED)
