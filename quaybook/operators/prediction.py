@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaybook.functions.columns import ratio, sign
-from quaybook.plans.scan import Running, chunk_of, layout_of, running
+from quaybook.plans.scan import Running, chunk_of, dealt_whole, layout_of, running
 from quaybook.schema import REPORT, Layout
 
 
@@ -21,7 +21,7 @@ def future_moves(snapshots: DataFrame, layout: Layout | None = None) -> DataFram
     Among rows with a mid, that is the next one which differs from its predecessor, whatever the horizon; so one pass serves all.
     """
     chunk = chunk_of("message_index", (layout or layout_of(snapshots)).scan_chunk)
-    rows = running(snapshots, ["symbol"], chunk, ["message_index"], [Running("previous", "last", F.col("mid_price"), inclusive=False)])
+    rows = running(dealt_whole(snapshots, chunk, "symbol"), ["symbol"], chunk, ["message_index"], [Running("previous", "last", F.col("mid_price"), inclusive=False)])
     turn = F.when(F.col("mid_price").isNotNull() & F.col("previous").isNotNull() & (F.col("mid_price") != F.col("previous")), F.struct(F.col("message_index").alias("at"), F.col("mid_price").alias("mid")))
     rows = running(rows, ["symbol"], chunk, ["message_index"], [Running("next", "last", turn, inclusive=False)], reverse=True)
     valid = F.col("mid_price").isNotNull() & F.col("next").isNotNull()

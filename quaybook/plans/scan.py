@@ -27,6 +27,11 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def dealt_whole(df: DataFrame, chunk: Column | None, *keys: str) -> DataFrame:
+    """Rows dealt by keys once, before the first of several passes over whole keys; as they are where pieces of keys run alone."""
+    return dealt(df, *keys) if chunk is None else df
+
+
 def layout_of(messages: DataFrame) -> Layout:
     """The layout for the longest symbol, by one count; who knows how many messages there are passes a layout instead."""
     return Layout.for_rows(messages.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0)
@@ -81,7 +86,7 @@ def running(df: DataFrame, keys: list[str], chunk: Column | None, order: list[st
     frame = lambda over, w: over.rowsBetween(Window.unboundedPreceding, 0 if w.inclusive else -1)
     if chunk is None:
         whole = Window.partitionBy(*keys).orderBy(*[turn(c) for c in order])
-        return dealt(df, *keys).withColumns({w.name: _aggregate(w.how, w.value).over(frame(whole, w)) for w in wanted})
+        return df.withColumns({w.name: _aggregate(w.how, w.value).over(frame(whole, w)) for w in wanted})
     # read twice below, so it is written once
     valued = settle(df.withColumns({"__chunk": chunk, **{f"__{w.name}": w.value for w in wanted}}))
     chunk = "__chunk"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaybook.plans.scan import Running, running
+from quaybook.plans.scan import Running, dealt_whole, running
 from quaybook.schema import Layout
 
 #: Seconds in one piece of the numbering of long symbols.
@@ -56,5 +56,5 @@ def messages_of_tables(spark: SparkSession, sf_dir: str, layout: Layout = Layout
     both = orders.unionByName(lines)
     span = None if layout.scan_chunk is None else F.floor(F.col("at") / _SPAN).cast("long")
     order = ["at", "source", "order_id", "line", "part", "amount", "supplier"]
-    numbered = running(both, ["symbol"], span, order, [Running("n", "sum", F.lit(1).cast("long"))])
+    numbered = running(dealt_whole(both, span, "symbol"), ["symbol"], span, order, [Running("n", "sum", F.lit(1).cast("long"))])
     return numbered.select("symbol", (F.col("n") - 1).alias("seq"), F.col("at").cast("double").alias("timestamp"), "event_type", "order_id", "size", "price", "direction")
