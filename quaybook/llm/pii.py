@@ -248,6 +248,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Of so many different words one is counted.
 _ONE_IN = 4
+#: Numbers of 64 bits that hold a bit for each of these words, and what is counted.
+_BITS = 16
+_COUNTED = ["pattern", "plain", "other", *(f"b{k}" for k in range(_BITS))]
 
 
 class PatternHashes:
@@ -295,7 +298,7 @@ class PatternHashes:
 
 
 def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each pattern how many different plain words stand beside it in a task, how often anything else does, and the least of the words' hashes.
+    """For each pattern how many different plain words stand beside it in a task, how often anything else does, and a bit for each of the words.
 
     Of words only a quarter, told by their hash, is looked at.
     """
@@ -332,19 +335,14 @@ def _counter(patterns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if sum(map(len, held)) > max(500_000, len(seen)):
                 seen, held = np.unique(np.concatenate([seen, *held])), []
         seen = np.unique(np.concatenate([seen, *held]))
-        ends = np.searchsorted(seen, np.arange(1, len(patterns), dtype=np.uint64) << shift)
-        words = np.split(seen.view(np.int64), ends)
-        some = [k for k in range(len(patterns)) if len(words[k]) or other[k]]
+        pattern, bit = (seen >> shift).astype(np.int64), seen & np.uint64(64 * _BITS - 1)
+        bits = np.zeros((len(patterns), _BITS), np.uint64)
+        np.bitwise_or.at(bits, (pattern, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        counts = np.bincount(pattern, minlength=len(patterns))
+        some = np.flatnonzero(counts + other)
         # numbers only: the words of the few patterns that stay in are sent later, with their slots
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([patterns[k] for k in some], pa.string()),
-                pa.array([len(words[k]) for k in some], pa.int64()),
-                pa.array(other[some]),
-                pa.array([words[k][:128] for k in some], pa.list_(pa.int64())),
-            ],
-            names=["pattern", "plain", "other", "least"],
-        )
+        columns = [pa.array(counts[some]), pa.array(other[some]), *(pa.array(bits[some, k].view(np.int64)) for k in range(_BITS))]
+        yield pa.RecordBatch.from_arrays([pa.array([patterns[k] for k in some], pa.string()), *columns], names=_COUNTED)
 
     return run
 
@@ -501,13 +499,13 @@ def find(docs: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFr
         raise ValueError(f"{len(backed)} patterns have {config.least_seeds} seeds or more; raise least_seeds, as {config.most_patterns} are sent to every task at most")
     # nor can one with too many plain words, even if all else that stands beside it, counted twice over, were of its kind
     if backed:
-        counted = settle(rows.mapInArrow(_counter(list(backed)), "pattern string, plain long, other long, least array<long>"))
-        union = counted.select("pattern", F.explode("least").alias("h")).groupBy("pattern").agg(F.countDistinct("h").alias("several"))
-        sums = counted.groupBy("pattern").agg(F.max("plain").alias("plain"), F.sum("other").alias("other")).join(union, "pattern", "left")
+        counted = rows.mapInArrow(_counter(list(backed)), "pattern string, " + ", ".join(f"{c} long" for c in _COUNTED[1:]))
+        sums = counted.groupBy("pattern").agg(F.max("plain").alias("plain"), F.sum("other").alias("other"), *[F.bit_or(c).alias(c) for c in _COUNTED[3:]])
         room = 1 / config.pattern_confidence - 1
         for r in sums.collect():
-            # words that were looked at, in one task or in several; two and a half times as many as there may be are no accident
-            words = max(r["plain"], r["several"] or 0)
+            # words that were looked at: of one task, or of all as far as their bits differ; two and a half times as many as there may be
+            # are no accident
+            words = max(r["plain"], sum((r[c] & (1 << 64) - 1).bit_count() for c in _COUNTED[3:]))
             if words >= 40 and words * _ONE_IN > 2.5 * room * (backed[r["pattern"]] + 2 * r["other"]):
                 del backed[r["pattern"]]
     patterns = list(backed)
