@@ -18,6 +18,7 @@ out of :func:`find` and unchanged in :func:`redact`.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -503,9 +504,10 @@ def find(docs: DataFrame, config: BootstrapConfig = BootstrapConfig()) -> DataFr
         sums = counted.groupBy("pattern").agg(F.max("plain").alias("plain"), F.sum("other").alias("other"), *[F.bit_or(c).alias(c) for c in _COUNTED[3:]])
         room = 1 / config.pattern_confidence - 1
         for r in sums.collect():
-            # words that were looked at: of one task, or of all as far as their bits differ; two and a half times as many as there may be
-            # are no accident
-            words = max(r["plain"], sum((r[c] & (1 << 64) - 1).bit_count() for c in _COUNTED[3:]))
+            # words that were looked at: those of one task, or of all by the bits that are left; two and a half times as many as there
+            # may be are no accident
+            left = 64 * _BITS - sum((r[c] & (1 << 64) - 1).bit_count() for c in _COUNTED[3:])
+            words = max(r["plain"], 64 * _BITS * math.log(64 * _BITS / max(left, 1)))
             if words >= 40 and words * _ONE_IN > 2.5 * room * (backed[r["pattern"]] + 2 * r["other"]):
                 del backed[r["pattern"]]
     patterns = list(backed)
